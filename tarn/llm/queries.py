@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import line_dedup, quality
+from tarn.llm import line_dedup, mixing, quality
 from tarn.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,11 +20,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_source_mixing": op4_source_mixing,
     "op5_line_dedup": op5_line_dedup,
 }
 SQL: dict[str, str] = {
     "op2_quality_rules": quality.SQL,
+    "op4_source_mixing": mixing.SQL,
     "op5_line_dedup": line_dedup.SQL,
 }
