@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import langid, line_dedup, mixing, quality, sentencepiece_codec
+from tarn.llm import langid, line_dedup, mixing, quality, sentencepiece_codec, simhash
 from tarn.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.query(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_simhash": op6_simhash,
     "op8_sentencepiece": op8_sentencepiece,
 }
 SQL: dict[str, str] = {
