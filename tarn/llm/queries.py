@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import langid, line_dedup, mixing, quality, sentencepiece_codec, simhash
+from tarn.llm import langid, line_dedup, mixing, quality, sentencepiece_codec, simhash, suffix_dedup
 from tarn.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.query(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
@@ -43,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL: dict[str, str] = {
     "op2_quality_rules": quality.SQL,
