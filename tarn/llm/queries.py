@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import langid, line_dedup, mixing, quality, sentencepiece_codec, simhash, suffix_dedup
+from tarn.llm import flac, langid, line_dedup, mixing, quality, sentencepiece_codec, simhash, suffix_dedup
 from tarn.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.query(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.query(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op4_source_mixing": op4_source_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
+    "op7_flac": op7_flac,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
