@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import flac, langid, line_dedup, mixing, quality, sentencepiece_codec, simhash, suffix_dedup
+from tarn.llm import flac, langid, line_dedup, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, warc
 from tarn.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc": op3_warc,
     "op4_source_mixing": op4_source_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Query] = {
 }
 SQL: dict[str, str] = {
     "op2_quality_rules": quality.SQL,
+    "op3_warc": warc.SQL,
     "op4_source_mixing": mixing.SQL,
     "op5_line_dedup": line_dedup.SQL,
 }
