@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import flac, langid, line_dedup, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, warc
+from tarn.llm import flac, langid, line_dedup, lm_score, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, warc
 from tarn.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.query(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.query(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.query(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": op6_simhash,
     "op7_flac": op7_flac,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL: dict[str, str] = {
