@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from tarn.functions.regex import re_matches
 from tarn.functions.timefn import ORIGIN_US
 
+_MARK = "tarn.functions"
 _TOKENS = r"filter(split(lower(f), '[^\\p{L}\\p{N}]+'), t -> char_length(t) BETWEEN 2 AND 64)"
 _ARRAY = "try_cast(try_parse_json(j) AS ARRAY<VARIANT>)"
 _TEXT = "coalesce(CAST(v AS STRING), 'null')"
@@ -116,7 +117,10 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
 
 
 def register(spark: SparkSession) -> None:
-    """Make every function of the engine known to the session."""
+    """Make every function of the engine known to the session, once."""
+    if spark.conf.get(_MARK, "") == str(len(FUNCTIONS)):
+        return
     for name, (parameters, result, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
     spark.udf.register("re_matches", re_matches)
+    spark.conf.set(_MARK, str(len(FUNCTIONS)))

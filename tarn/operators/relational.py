@@ -29,7 +29,7 @@ def match_one_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimiser's size of a plan, from file sizes and selectivity rules."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def enrich(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:

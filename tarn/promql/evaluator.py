@@ -23,7 +23,6 @@ DEFAULT_STEP_MS = 15_000
 #: Range queries beyond this many points per series are refused.
 MAX_POINTS = 30_000
 NAME = "__name__"
-NAN = F.lit(float("nan"))
 
 
 @dataclass
@@ -37,6 +36,10 @@ class Scalar:
     value: Column | float
 
 
+def _nan() -> Column:
+    return F.lit(math.nan)
+
+
 def align(start_ms: int, end_ms: int, step_ms: int = 0) -> tuple[int, int, int]:
     """Step and bounds of a range query: a rounded step, and bounds on its multiples for ten points or more."""
     step = step_ms or max(DEFAULT_STEP_MS, (end_ms - start_ms) // MAX_POINTS)
@@ -51,7 +54,7 @@ def align(start_ms: int, end_ms: int, step_ms: int = 0) -> tuple[int, int, int]:
 
 def divide(a: Column, b: Column) -> Column:
     """Division of doubles with infinities and NaN."""
-    by_zero = F.when(F.isnan(a) | (a == 0), NAN).when((a > 0) == (F.signum(F.lit(1.0) / F.when(b == 0, F.lit(1.0)).otherwise(b)) > 0), F.lit(math.inf)).otherwise(F.lit(-math.inf))
+    by_zero = F.when(F.isnan(a) | (a == 0), _nan()).when((a > 0) == (F.signum(F.lit(1.0) / F.when(b == 0, F.lit(1.0)).otherwise(b)) > 0), F.lit(math.inf)).otherwise(F.lit(-math.inf))
     return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
 
 
@@ -59,13 +62,13 @@ def _low_nan(agg: Callable, c: Column, least: bool) -> Column:
     """min or max with NaN below every number (max) or ignored unless alone (min gives NaN where one is)."""
     plain = agg(F.when(~F.isnan(c), c))
     if least:
-        return F.when(F.max(F.isnan(c).cast("int")) == 1, NAN).otherwise(plain)
-    return F.coalesce(plain, NAN)
+        return F.when(F.max(F.isnan(c).cast("int")) == 1, _nan()).otherwise(plain)
+    return F.coalesce(plain, _nan())
 
 
 def _quantile(c: Column, q: float) -> Column:
     if math.isnan(q):
-        return NAN
+        return _nan()
     if q < 0:
         return F.lit(-math.inf)
     if q > 1:
@@ -357,7 +360,7 @@ class Evaluator:
     def _scalar(self, vec: Vector) -> Scalar | Vector:
         """A vector without labels: the value where there is exactly one series, else NaN."""
         one = vec.df.groupBy("ts").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("x"))
-        df = self._grid().join(one, "ts", "left").select("ts", F.when(F.col("n") == 1, F.col("x")).otherwise(NAN).alias("value"))
+        df = self._grid().join(one, "ts", "left").select("ts", F.when(F.col("n") == 1, F.col("x")).otherwise(_nan()).alias("value"))
         return Vector(df, [])
 
     def _timestamp(self, node) -> Vector:
@@ -407,7 +410,7 @@ class Evaluator:
         below = F.when(F.col("i") > 0, before["value"]).otherwise(0.0)
         inner = low + (here["le"] - low) * F.try_divide(F.col("rank") - below, here["value"] - below)
         value = (
-            F.when(F.col("total") == 0, NAN).when(F.isnan("q"), NAN).when(F.col("q") < 0, F.lit(-math.inf)).when(F.col("q") > 1, F.lit(math.inf))
+            F.when(F.col("total") == 0, _nan()).when(F.isnan("q"), _nan()).when(F.col("q") < 0, F.lit(-math.inf)).when(F.col("q") > 1, F.lit(math.inf))
             .when(F.col("i") == F.size("b") - 1, F.get("b", F.size("b") - 2)["le"])
             .when((F.col("i") == 0) & (here["le"] <= 0), here["le"]).otherwise(F.coalesce(inner, low))
         )
@@ -435,8 +438,8 @@ class Evaluator:
             return Vector(df, [*[c for c in labels if c != target], target])
         q = self._constant(node.param) if node.param is not None else 0.0
         aggs = {
-            "sum": F.sum(v), "avg": F.avg(v), "min": F.coalesce(F.min(F.when(~F.isnan(v), v)), NAN),
-            "max": F.coalesce(F.max(F.when(~F.isnan(v), v)), NAN), "count": F.count(F.lit(1)).cast("double"), "group": F.max(F.lit(1.0)),
+            "sum": F.sum(v), "avg": F.avg(v), "min": F.coalesce(F.min(F.when(~F.isnan(v), v)), _nan()),
+            "max": F.coalesce(F.max(F.when(~F.isnan(v), v)), _nan()), "count": F.count(F.lit(1)).cast("double"), "group": F.max(F.lit(1.0)),
             "stddev": F.stddev_pop(v), "stdvar": F.var_pop(v), "quantile": _quantile(v, q),
         }
         return Vector(vec.df.groupBy(*labels, "ts").agg(aggs[node.name].alias("value")), labels)
@@ -509,7 +512,7 @@ def _apply(op: str, a: Column, b: Column) -> Column:
     if op == "/":
         return divide(a, b)
     if op == "%":
-        return F.when(b == 0, NAN).otherwise(F.try_mod(a, b))
+        return F.when(b == 0, _nan()).otherwise(F.try_mod(a, b))
     if op == "^":
         return F.pow(a, b)
     if op == "atan2":
@@ -518,7 +521,7 @@ def _apply(op: str, a: Column, b: Column) -> Column:
 
 
 def _log(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: F.when(F.isnan(x) | (x < 0), NAN).when(x == 0, F.lit(-math.inf)).otherwise(f(x))
+    return lambda x: F.when(F.isnan(x) | (x < 0), _nan()).when(x == 0, F.lit(-math.inf)).otherwise(f(x))
 
 
 _MATH: dict[str, Callable[[Column], Column]] = {
