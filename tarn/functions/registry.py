@@ -79,7 +79,7 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     ),
     "text_us": (
         "x STRING", "BIGINT",
-        "CASE WHEN x RLIKE '^-?[0-9]+$' THEN time_us(CAST(x AS BIGINT)) ELSE unix_micros(coalesce(try_to_timestamp(x), try_to_timestamp(x, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\"), try_to_timestamp(x, 'EEE, d MMM yyyy HH:mm:ss Z'), try_to_timestamp(x, 'd MMM yyyy HH:mm:ss Z'))) END",
+        "CASE WHEN x RLIKE '^-?[0-9]+$' THEN time_us(CAST(x AS BIGINT)) ELSE unix_micros(coalesce(try_to_timestamp(x), try_to_timestamp(x, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\"), try_to_timestamp(regexp_replace(x, '^[A-Za-z]{3}, *', ''), 'd MMM yyyy HH:mm:ss Z'))) END",
     ),
     "cast_to_timestamp": ("x STRING", "BIGINT", "text_us(x)"),
     # Half-open; a negative bound is open, an unreadable one gives null.

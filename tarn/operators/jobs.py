@@ -105,9 +105,11 @@ def apply_rows(df: DataFrame, function, schema: str, whole: bool = False) -> Dat
     if not whole:
         return df.mapInPandas(run, schema)
 
+    columns = list(df.columns)
+
     def once(f):
         import pandas as pd
 
-        return pd.DataFrame(function(f.to_dict("records")))
+        return pd.DataFrame(function(f[columns].to_dict("records")))
 
-    return df.groupBy(F.lit(1)).applyInPandas(lambda f: once(f.drop(columns=[c for c in f.columns if c not in df.columns])), schema)
+    return df.withColumn("__all", F.lit(True)).groupBy("__all").applyInPandas(once, schema)

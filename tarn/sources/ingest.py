@@ -57,10 +57,9 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 def from_json_text(spark: SparkSession, rows: Sequence[dict], max_level: int = 0) -> DataFrame:
     """Records of a request body as a flat table; keys with only nulls are left out."""
-    lines = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
-    kind = spark.range(1).select(F.schema_of_json_agg(F.lit("{}"))) if not rows else lines.agg(F.schema_of_json_agg("value"))
-    parsed = lines.select(F.from_json("value", F.lit(kind.first()[0])).alias("r")).select("r.*")
-    return with_timestamp(flatten(parsed, max_level))
+    # The reader infers one schema over all lines; a request body is small.
+    lines = spark.sparkContext.parallelize([json.dumps({k: v for k, v in r.items() if v is not None}) for r in rows])
+    return with_timestamp(flatten(spark.read.json(lines), max_level))
 
 
 def hec(lines: DataFrame, column: str = "value") -> DataFrame:
