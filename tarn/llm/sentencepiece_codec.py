@@ -46,7 +46,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PROBES = [
     "", " ", "   ", "a", " a", "a ", "Hello  world", "  two  spaces ", "tab\tand\nline\r\n", "café naïve", "€\U0001f600\U0001f468‍\U0001f469", "aaaaaaaaaa abababab",
-    "1234567890 3.14", "▁mark▁", "é́ é", "<s></s><unk>", "x" * 300, "中文 日本語", "def f(x):\n    return x  # doubled",
+    "1234567890 3.14", "▁mark▁", "é́ é", "<s></s><unk>", "<0x41><0x0A>", "x" * 300, "中文 日本語", "def f(x):\n    return x  # doubled",
 ]
 
 
@@ -144,17 +144,24 @@ def build(m: Model):
 
     unk = next((i for i, (_, _, kind) in enumerate(m.pieces) if kind == UNKNOWN), None)
     if m.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=unk, byte_fallback=m.byte_fallback)
+        # Only plain pieces match text: the others get names that text does not have, and bytes a score that leaves the least one.
+        least = min((s for _, s, kind in m.pieces if kind in (NORMAL, USER)), default=0.0)
+        rows = [(p, s) if kind in (NORMAL, USER) else (p, least) if kind == BYTE else (f"\U0010fffd{i}", 0.0) for i, (p, s, kind) in enumerate(m.pieces)]
+        core = models.Unigram(rows, unk_id=unk, byte_fallback=m.byte_fallback)
     else:
         vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
         core = models.BPE(vocab, merges_of(m), unk_token=None if unk is None else m.pieces[unk][0], fuse_unk=True, byte_fallback=m.byte_fallback)
     t = Tokenizer(core)
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip(left=True, right=True)]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
-    t.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
+    steps.append(normalizers.Replace(" ", MARK))
+    if m.squeeze:
+        # Markers at the end go with the spaces, those that the text had itself as well.
+        steps.append(normalizers.Replace(Regex(f"{MARK}+$"), ""))
+    t.normalizer = normalizers.Sequence(steps)
     if cuttable(m):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
     user = [p for p, _, kind in m.pieces if kind == USER]
@@ -166,28 +173,53 @@ def build(m: Model):
 class Codec:
     """A rebuilt model that encodes and decodes batches."""
 
-    def __init__(self, tokenizer: str, pieces: list[list], cut: bool, plain: bool, prefix: bool):
+    def __init__(self, tokenizer: str, pieces: list[list], cut: bool, plain: bool, prefix: bool, unigram: bool):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(tokenizer)
         self.words = Tokenizer(self.whole.model)
         self.cut, self.plain, self.prefix = cut, plain, prefix
-        self.byte_ids = np.array([i for i, (_, kind) in enumerate(pieces) if kind == BYTE], dtype=np.int64)
-        self.bytes_of = [_piece_bytes(p, kind) for p, kind in pieces]
+        self.byte_ids = np.array([i for i, (_, kind, _) in enumerate(pieces) if kind == BYTE], dtype=np.int64)
+        self.bytes_of = [_piece_bytes(p, kind) for p, kind, _ in pieces]
+        # The library's unigram model takes a byte piece's name in a text for the piece; such words are encoded here.
+        self.scores = {p: (s, i) for i, (p, kind, s) in enumerate(pieces) if kind in (NORMAL, USER)} if unigram and len(self.byte_ids) else None
+        self.unknown = next((i for i, (_, kind, _) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.cache: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.cut:
-            return [np.array(e.ids, dtype=np.int32) for e in self.whole.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            found = self.whole.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(self._unigram(self.whole.normalizer.normalize_str(t)) if self.scores and "<0x" in (t or "") else e.ids, dtype=np.int32) for t, e in zip(texts, found)]
         words = [self._words(t) if t else [] for t in texts]
         new = list({w for own in words for w in own if w not in self.cache})
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = list({w for own in words for w in own})
         self.cache.update(zip(new, (e.ids for e in self.words.encode_batch_fast(new, add_special_tokens=False))))
+        if self.scores:
+            self.cache.update((w, self._unigram(w)) for w in new if "<0x" in w)
         known = self.cache
         return [np.fromiter(chain.from_iterable(map(known.__getitem__, own)), dtype=np.int32) for own in words]
 
+    def _unigram(self, word: str) -> list[int]:
+        """The best segmentation of a word, unknown characters as bytes."""
+        unknown = min(s for s, _ in self.scores.values()) - 10
+        longest = max(map(len, self.scores))
+        best: list[tuple[float, int, int]] = [(0.0, 0, -1)]
+        for end in range(1, len(word) + 1):
+            options = [(best[end - 1][0] + unknown, end - 1, -1)] if word[end - 1] not in self.scores else []
+            for start in range(max(0, end - longest), end):
+                hit = self.scores.get(word[start:end])
+                if hit:
+                    options.append((best[start][0] + hit[0], start, hit[1]))
+            best.append(max(options, key=lambda o: o[0]))
+        out, end = [], len(word)
+        while end:
+            _, start, piece = best[end]
+            out.append([piece] if piece >= 0 else [int(self.byte_ids[b]) for b in word[start:end].encode()])
+            end = start
+        return [i for part in reversed(out) for i in part]
+
     def _words(self, text: str) -> list[str]:
         """The normalised text cut before each run of markers."""
         if self.plain:
@@ -220,7 +252,7 @@ def verify(data: bytes, codec: Codec, probes: list[str] = PROBES) -> None:
     own = SentencePieceProcessor(model_proto=data)
     for text, ids in zip(probes, codec.encode(probes)):
         expected = own.encode(text)
-        whole = codec.whole.encode(text, add_special_tokens=False).ids
+        whole = codec.whole.encode(text, add_special_tokens=False).ids if "<0x" not in text else expected
         if not expected == ids.tolist() == whole or own.decode(expected) != codec.decode([ids])[0]:
             raise ValueError(f"the rebuilt tokenizer differs on {text!r}: {ids.tolist()}, not {expected}")
 
@@ -229,7 +261,7 @@ def rebuild(data: bytes) -> tuple:
     """What Codec needs, from the bytes of a model file."""
     m = parse_model(data)
     cut = cuttable(m) and not any(kind == USER for _, _, kind in m.pieces)
-    parts = build(m).to_str(), [[p, kind] for p, _, kind in m.pieces], cut, not m.charsmap and not m.squeeze, m.dummy_prefix
+    parts = build(m).to_str(), [[p, kind, s] for p, s, kind in m.pieces], cut, not m.charsmap and not m.squeeze, m.dummy_prefix, m.kind == UNIGRAM
     verify(data, Codec(*parts))
     return parts
 
