@@ -1,8 +1,8 @@
 """WARC archives in Zstandard: one frame per record, the dictionary in the leading skippable frame.
 
-Writing: pages are dealt over tasks by id, and each task writes files of
-bounded size into a folder that driver and executors share, under names and
-with contents that a repeated task reproduces. Payloads that occur more than
+Writing: each task that has read pages writes files of bounded size into a
+folder that driver and executors share, under names and with contents that a
+repeated task reproduces. Payloads that occur more than
 once are stored once; the others are revisit records that refer to it.
 
 Reading: whole files come through Spark's binaryFile source, so any store that
@@ -33,11 +33,10 @@ from pyspark.sql import types as T
 from tarn.llm.common import Scratch
 
 MIN_REVISIT = 1000
-#: Payload bytes per file and per task; a single record may be longer.
+#: Payload bytes per file; a single record may be longer.
 FILE_BYTES = 8 << 20
-TASK_BYTES = 64 << 20
 DICT_BYTES = 32 << 10
-#: The dictionary is trained on this many pages of at most SAMPLE_BYTES; it changes sizes, never contents.
+#: The dictionary is trained on about this many pages of at most SAMPLE_BYTES; it changes sizes, never contents.
 DICT_SAMPLES = 400
 SAMPLE_BYTES = 64 << 10
 LEVEL = 3
@@ -219,7 +218,7 @@ def read_archive(data: bytes) -> Iterator[dict]:
 # Tables ------------------------------------------------------------------
 
 
-def decide(pages: DataFrame, payload: Column, id_col: str, min_bytes: int = MIN_REVISIT) -> DataFrame:
+def decide(pages: DataFrame, payload: Column, id_col: str, scratch: Scratch, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """pages with payload (binary), record_type and refers_to."""
     # The digest stands for the payload: the reader checks it for every payload stored.
     full = pages.withColumn("__digest", F.sha1(payload)).withColumn("payload", payload)
@@ -227,6 +226,8 @@ def decide(pages: DataFrame, payload: Column, id_col: str, min_bytes: int = MIN_
         full.filter(F.octet_length("payload") >= min_bytes).groupBy("__digest")
         .agg(F.max(id_col).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1 AND __first IS NOT NULL").drop("__n")
     )
+    # Written, so that its true size decides between a broadcast and a shuffle of the payloads.
+    same = scratch.write(same, "same")
     again = F.col("__first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("__first"))
     kind = F.when(again, "revisit").otherwise("response")
     return full.join(same, "__digest", "left").withColumn("record_type", kind).withColumn("refers_to", F.when(again, F.col("__first"))).drop("__digest", "__first")
@@ -238,14 +239,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     scratch = scratch or Scratch(spark, "warc")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     sized = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias(html_col))
-    small = F.octet_length(html_col).between(1, SAMPLE_BYTES)
-    rows = sized.filter(small).orderBy(F.xxhash64("page_id"), "page_id", html_col).limit(DICT_SAMPLES).select(html_col).collect()
-    dictionary = train([r[0].encode() for r in rows])
-    total = sized.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
-    tasks = max(1, -(-int(total) // TASK_BYTES))
-    decided = decide(sized, payload, "page_id").select("page_id", "url", "payload", "record_type", "refers_to")
+    # The share of small pages that gives about DICT_SAMPLES of them, told by a hash: the same in every run.
+    small = sized.filter(F.octet_length(html_col).between(1, SAMPLE_BYTES))
+    share = DICT_SAMPLES / max(1, small.count())
+    rows = small.filter(F.xxhash64(F.lit("dictionary"), "page_id") / 2.0**64 + 0.5 <= share).select(html_col).limit(4 * DICT_SAMPLES).collect()
+    dictionary = train(sorted(r[0].encode() for r in rows))
+    decided = decide(sized, payload, "page_id", scratch).select("page_id", "url", "payload", "record_type", "refers_to")
     # Rows of a task in a fixed order, so that a task run again writes the same files.
-    dealt = decided.repartition(max(tasks, int(spark.sparkContext.defaultParallelism)), "page_id").sortWithinPartitions("page_id", F.sha1("payload"))
+    dealt = decided.sortWithinPartitions("page_id", F.sha1("payload"), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
