@@ -1,0 +1,504 @@
+"""The training-data operators against brute force on small fixtures, with the cases that real tables bring."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tarn.llm import flac, langid, line_dedup, lm_score, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, warc
+from tarn.llm.common import Scratch, shared_dir
+from tarn.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = "This line is long enough to be counted as a shared one, by far."
+
+
+def corpus(seed=3, n=40):
+    r = random.Random(seed)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "été", "Zürich", "the", "of", "and", "x" * 20]
+    passage = " ".join(r.choice(vocabulary) + str(r.randrange(1000)) for _ in range(90))
+    docs = []
+    for i in range(n):
+        text = "\n".join(" ".join(r.choice(vocabulary) + str(r.randrange(50)) for _ in range(r.randrange(3, 30))) for _ in range(r.randrange(1, 8)))
+        if i % 3 == 0:
+            text += "\n  " + (LONG.upper() if i % 2 else LONG) + "\t"
+        if i % 5 == 0:
+            text = text[: r.randrange(50)] + passage + text
+        docs.append((i, text, "en", f"s{i % 4}", len(text)))
+    docs += [(n, docs[0][1], "en", "s0", 0), (n + 1, docs[1][1] + " tail", None, "s1", 0)]
+    # Nulls, empty and white texts, repeated rows, one very long text.
+    docs += [(n + 2, None, None, None, None), (n + 3, "", "en", None, 0), (n + 4, " \n\t ", "en", "s1", 4), (n + 5, passage, "en", "s2", 0), (n + 5, passage, "en", "s2", 0), (None, passage + " x", "en", "s3", 0), (n + 6, (passage + "\n") * 40, "en", "s3", 0), (n + 7, "one two", "en", "s3", 0)]
+    return docs
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert Scratch(spark, "x").root.startswith(shared_dir(spark))
+
+
+# 1 -----------------------------------------------------------------------
+
+
+def test_language_id_on_held_out_texts(spark):
+    r = random.Random(1)
+    stems = {"aa": ["kora", "mibu", "tela"], "bb": ["schu", "wern", "grop"], "cc": ["ille", "oure", "ais"]}
+    rows = [(i, " ".join(r.choice(stems[lang]) + r.choice(stems[lang]) for _ in range(30)), lang, "s", 0) for i in range(120) for lang in [r.choice(list(stems))]]
+    rows += [(1000, None, "aa", "s", 0), (1001, "12 34 !", "aa", "s", 0), (1002, "", None, "s", 0), (1003, "Ω", None, "s", 0)]
+    out = langid.query(spark.createDataFrame(rows, SCHEMA)).collect()
+    truth = {i: (t, lang) for i, t, lang, _, _ in rows}
+    assert len(out) == len(rows)
+    for x in out:
+        assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) and 0 <= x.score <= 1
+        if x.doc_id < 1000:
+            assert x.lang_pred == truth[x.doc_id][1]
+    assert {x.doc_id: x.lang_pred for x in out if x.doc_id >= 1000} | {1003: None} == {1000: "und", 1001: "und", 1002: "und", 1003: None}
+
+
+def test_language_id_backs_off_to_shorter_grams():
+    m = langid.Model(["a", "b"], np.zeros(2), {"known": np.array([0.0, -9.0])}, {2: {"zz": np.array([-9.0, 0.0])}, 1: {}, 3: {}, 4: {}, 5: {}})
+    assert m.word_scores("known")[0] == 0 and m.word_scores("xzzx")[1] > m.word_scores("xzzx")[0]
+    assert not m.word_scores("qq").any()
+
+
+def test_language_id_without_labels(spark, empty):
+    assert langid.query(empty).count() == 0
+    assert langid.query(spark.createDataFrame([(1, "text", None, "s", 0)], SCHEMA)).first().lang_pred == "und"
+
+
+# 2 -----------------------------------------------------------------------
+
+
+def brute_quality(text):
+    w = words(text)
+    seen = Counter(zip(w, w[1:], w[2:]))
+    covered = {i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures(docs):
+    rows = quality.query(docs).collect()
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append(r.text)
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(texts[r.doc_id][0])
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed)
+
+
+def test_quality_policies_and_ablation(docs, empty):
+    ledger = quality.ledger(docs)
+    kept = {p: ledger.filter(quality.kept(p)).count() for p in quality.POLICIES}
+    assert kept["v1"] <= kept["base"] < docs.count()
+    report = {r.rule: r for r in quality.ablation(ledger).collect()}
+    assert set(report) == set(quality.BIT)
+    for rule, bit in quality.BIT.items():
+        only = ledger.filter(F.col("failed").bitwiseAND(F.lit(quality.POLICIES["v1"])) == bit).count()
+        assert report[rule].n_only == only and report[rule].n_docs == docs.count()
+    assert quality.query(empty).count() == 0
+
+
+def test_quality_filter_keeps_clashing_columns(docs):
+    clash = docs.withColumn("n_words", F.lit("mine")).withColumn("failed", F.lit(1.5))
+    out = quality.filter_documents(clash)
+    assert out.columns == clash.columns and {r.n_words for r in out.collect()} == {"mine"}
+
+
+# 3 -----------------------------------------------------------------------
+
+PAGES = "page_id long, url string, html string"
+
+
+def page_rows():
+    big, other = "<p>é" + "x" * 1500, "y" * 999
+    return [(1, "http://a/", big), (5, "http://b/ü?q=1", big), (3, None, big), (4, "u", other), (6, "u", other), (7, "u", None), (8, "u", ""), (None, "u", big), (5, "u", big), (9, "a\r\nb", "z" * 5000), (10, "u", "plain")]
+
+
+def test_warc_round_trip(spark):
+    pages = spark.createDataFrame(page_rows(), PAGES).withColumn("payload", F.lit("clash"))
+    got = Counter(tuple(r) for r in warc.query(pages).collect())
+    best = defaultdict(list)
+    for i, _, h in page_rows():
+        if i is not None:
+            best[h or ""].append(i)
+    expected = Counter()
+    for i, _, h in page_rows():
+        b = (h or "").encode()
+        first = max(best[h or ""]) if len(b) >= 1000 else None
+        again = first is not None and i != first
+        expected[(i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", first if again else None)] += 1
+    assert got == expected
+    assert warc.query(pages.limit(0)).count() == 0
+
+
+def test_warc_files_and_payloads(spark):
+    scratch = Scratch(spark, "test")
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<html>{i} common body of a page</html>" * 40) for i in range(60)], PAGES)
+    files = warc.write_archives(pages, scratch.path("a"), scratch=scratch).collect()
+    assert sum(f.records for f in files) == 60
+    back = {r.page_id: (r.url, bytes(r.payload).decode()) for r in warc.read_archives(spark, scratch.path("a")).collect()}
+    assert back == {r.page_id: (r.url, r.html) for r in pages.collect()}
+    data = open(files[0].path, "rb").read()
+    assert struct.unpack_from("<I", data)[0] == 0x184D2A5D and warc.read_dictionary(data)[0]
+
+
+def archive(dictionary=b"", **changes):
+    record = warc.build_record(1, "http://a/", b"body" * 300, None, "response")
+    for old, new in changes.items():
+        record = record.replace(old.encode(), new) if isinstance(old, str) else record
+    return warc.leading_frame(dictionary) + warc.compressor(dictionary).compress(record)
+
+
+def test_warc_rejects_broken_archives():
+    good = archive()
+    assert [r["page_id"] for r in warc.read_archive(good + good)] == [1, 1]
+    record = warc.build_record(1, "u", b"body", None, "response")
+    for bad in (record[:-1], record.replace(b"body", b"bodi"), record.replace(b"WARC/1.1", b"WARC/9"), record.replace(b"Content-Length: 4\r\n\r\nbody", b"Content-Length: 5\r\n\r\nbody"), record.replace(b"WARC-Type: response", b"WARC-Type: other"), b"junk"):
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(bad)
+    for bad in (good[:-3], good[:20], b"junk" + good, good[:40] + b"\xff\xff" + good[42:], struct.pack("<II", 0x184D2A5D, 99) + b"short", struct.pack("<II", 0x184D2A5D, 4) + b"none"):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_archive(bad))
+
+
+# 4 -----------------------------------------------------------------------
+
+
+def test_mix_reaches_targets(docs):
+    rows = mixing.query(docs).collect()
+    assert len(rows) == docs.count()
+    size, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        size[r.source_size] += r.size
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    largest = max(r.size for r in rows)
+    assert all(abs(taken[s] - target[s]) <= largest for s in target)
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.query(docs.repartition(7)).collect()), key=repr)
+
+
+def test_targets_stop_at_three_times_the_size():
+    t = mixing.targets([10, 1000, 10], [1, 1, 100])
+    assert t[2] == 30 and abs(sum(t) - 1020) < 1e-9 and t[0] <= 30
+    assert mixing.targets([], []) == [] and mixing.targets([0, 0], [1, 2]) == [0.0, 0.0]
+
+
+def test_flow_over_overlapping_sources_is_cheapest():
+    # Pattern 1 serves both sources; source 0 has only it besides its own.
+    given = mixing.min_cost_flow([10, 10, 10], [[0], [0, 1], [1]], [20, 10])
+    assert given == [10, 10, 10]
+    assert mixing.min_cost_flow([10, 10], [[0], [0, 1]], [5, 10]) == [5, 10]
+    assert mixing.min_cost_flow([10], [[0]], [100]) == [30]
+    assert mixing.min_cost_flow([10, 5], [[0, 1], [1]], [10, 20]) == [10 + 5, 15] or sum(mixing.min_cost_flow([10, 5], [[0, 1], [1]], [10, 20])) == 30
+
+
+def test_mix_with_overlap_and_repeats(spark, docs, empty):
+    both = docs.withColumn("members", F.when(F.col("doc_id") % 2 == 0, F.array("source", F.lit("all"))).otherwise(F.array("source")))
+    placed, sources = mixing.mix(both, F.col("members"))
+    assert placed.count() == docs.count() and placed.agg(F.max("times")).first()[0] <= 3 and "sall" in {r.source for r in sources.collect()}
+    out = mixing.repeat_documents(docs)
+    expected = sum(r.taken for r in mixing.query(docs).collect())
+    assert out.columns == docs.columns and sum(len(words(r.text)) for r in out.collect()) == expected
+    assert mixing.query(empty).count() == 0 and mixing.repeat_documents(empty).count() == 0
+
+
+# 5 -----------------------------------------------------------------------
+
+
+def brute_lines(rows, min_docs=5):
+    def key(line):
+        k = line.strip(" \t\n\x0b\x0c\r")
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in k)
+
+    holders = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 40:
+                holders[key(line)].add(i)
+    rank = lambda i: -1 if i is None else i
+    lost = {k: max(v, key=rank) for k, v in holders.items() if len(v) >= min_docs}
+    out = Counter()
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if key(x) not in lost or lost[key(x)] == i]
+        out[(i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize("batches", [1, 3, 5])
+def test_line_dedup(docs, batches, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_batch_bounds", lambda d, n, f=line_dedup._batch_bounds: f(d, batches))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    expected = brute_lines(rows)
+    assert any(k[2] for k in expected)
+    assert Counter(tuple(r) for r in line_dedup.query(docs).collect()) == expected
+
+
+def test_line_dedup_is_native_and_handles_empty(docs, empty):
+    plan = line_dedup.query(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    assert line_dedup.query(empty).count() == 0
+    out = line_dedup.filter_lines(docs.withColumn("th", F.lit(1)).withColumn("drops", F.lit("x")))
+    assert out.count() == docs.count() and {r.drops for r in out.collect()} == {"x"} and out.filter("text IS NULL").count() == 1
+
+
+def test_runs_are_compacted(spark):
+    store = line_dedup.RunStore(spark, fanout=2, buckets=2)
+    for i in range(4):
+        df = spark.range(i * 10, i * 10 + 10).selectExpr("id AS h1", "id AS h2", "id AS holder", "1L AS n")
+        assert store.fresh(df).count() == 10 and (not i or store.fresh(spark.range(10).selectExpr("id AS h1", "id AS h2", "id AS holder", "1L AS n")).count() == 0)
+        store.add(df)
+        store.compact()
+    assert [len(level) for level in store.levels] == [0, 0, 1] and spark.table(store.names()[0]).count() == 40
+    store.drop()
+
+
+# 6 -----------------------------------------------------------------------
+
+
+def naive_simhash(text):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return 0
+    sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_and_components(docs, empty):
+    rows = docs.collect()
+    out = simhash.query(docs).collect()
+    prints = {r.text: naive_simhash(r.text) for r in rows}
+    assert Counter((r.doc_id, f"{prints[r.text]:016x}") for r in rows) == Counter((r.doc_id, r.fingerprint) for r in out)
+    assert simhash.query(empty).count() == 0
+    group = defaultdict(set)
+    for r in out:
+        group[r.component_id].add(r.doc_id)
+    assert {42, 43, 44} <= next(v for v in group.values() if 42 in v)  # no words: null, empty, white
+
+
+def test_links_equal_brute_force(spark):
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(30)]
+    fps = set(base) | {b ^ sum(1 << k for k in r.sample(range(64), d)) for b in base for d in (1, 2, 3, 3, 4, 5)} | {0, 2**64 - 1, 1 << 63}
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    got = {(x.a, x.b) for x in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    expected = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+    assert got == expected and expected
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5000, 5001), (5001, 5000)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "cc")).collect()}
+    assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(50)) and got[5001] == 5000
+
+
+def test_keep_one_of_each_group(docs):
+    out = simhash.keep_one(docs.withColumn("fp", F.lit("mine")))
+    found = simhash.query(docs).collect()
+    assert out.count() == len({r.component_id for r in found}) and "fp" in out.columns
+    assert {r.doc_id for r in out.collect()} == {r.component_id for r in found}
+
+
+# 7 -----------------------------------------------------------------------
+
+
+def payloads():
+    r = random.Random(2)
+    return [flac.padded(x) for x in (b"", b"a", b"hello " * 300, bytes(range(256)) * 5, bytes(5000), bytes(r.randrange(256) for _ in range(3000)), "éàü".encode() * 700, bytes(i % 256 for i in range(9000)))]
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 192}, {"lpc_order": 2}, {"lpc_order": 8, "block": 256}])
+def test_flac_is_lossless(options):
+    files = flac.encode_many(payloads(), **options)
+    got = flac.decode_many(files)
+    assert [g[0] for g in got] == payloads()
+    for f, p, (_, spans, _) in zip(files, payloads(), got):
+        scalar, walked = flac._walk(f, flac.read_metadata(f))
+        assert (scalar.astype(np.int8).view(np.uint8) ^ 128).tobytes() == p and walked == spans
+    assert {k for g in got for k, _ in g[2]} > {-2}
+
+
+def test_flac_without_a_seek_table():
+    p = payloads()[2]
+    f = flac.encode_many([p])[0]
+    s = flac.read_metadata(f)
+    bare = f[:4] + bytes([0x80]) + f[5:42] + f[s.audio :]
+    assert flac.decode_many([bare])[0][0] == p
+
+
+def test_flac_checks():
+    f = flac.encode_many([payloads()[2]])[0]
+    for at in (2, 30, len(f) - 1, len(f) - 40, flac.read_metadata(f).audio + 1, flac.read_metadata(f).audio + 6):
+        with pytest.raises(flac.FlacError):
+            flac.decode_many([f[:at] + bytes([f[at] ^ 0x10]) + f[at + 1 :]])
+    with pytest.raises(flac.FlacError):
+        flac.decode_many([f[:-5]])
+    for n in (0, 127, 128, 2047, 2048, 65535, 65536, 2**21, 2**26, 2**31, 2**36 - 1):
+        assert flac._read_utf8_number(flac._utf8_number(n), 0)[0] == n
+
+
+def test_media_columns(docs, empty):
+    rows = flac.query(docs).collect()
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append((r.text or "").encode())
+    for r in rows:
+        p = flac.padded(texts[r.doc_id][0])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id][0]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    assert len(rows) == docs.count() and flac.query(empty).count() == 0
+    media = flac.encode(docs.select("doc_id", "text", F.lit("mine").alias("media")))
+    blocks = flac.pcm_blocks(media, carry=["doc_id"]).collect()
+    for r in blocks:
+        assert b"".join(b.pcm for b in r.blocks) == flac.padded(texts[r.doc_id][0]) and [b.sample for b in r.blocks] == list(range(0, len(flac.padded(texts[r.doc_id][0])), flac.BLOCK))
+
+
+# 8 -----------------------------------------------------------------------
+
+
+def test_sentencepiece_parity(docs, empty):
+    public = pytest.importorskip("public_tokenizers")
+    from sentencepiece import SentencePieceProcessor
+
+    own = SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model"))
+    rows = sentencepiece_codec.encode(docs).collect()
+    for r in rows:
+        ids = own.encode(r.text or "")
+        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(own.decode(ids).encode()).hexdigest()
+        assert r.round_trip == (own.decode(ids) == (r.text or ""))
+    assert sentencepiece_codec.query(empty).count() == 0
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).collect()
+    assert all(r.decoded == (r.text or "") for r in back)
+
+
+def _field(number, value):
+    if isinstance(value, bytes):
+        return bytes([number << 3 | 2]) + _varint(len(value)) + value
+    if isinstance(value, float):
+        return bytes([number << 3 | 5]) + struct.pack("<f", value)
+    return _varint(number << 3) + _varint(value)
+
+
+def _varint(n):
+    out = b""
+    while True:
+        out += bytes([n & 127 | (128 if n > 127 else 0)])
+        n >>= 7
+        if not n:
+            return out
+
+
+def unigram_model(squeeze, pieces=("▁the", "▁", "he", "t", "h", "e", "s", "▁she", "▁▁", "é")):
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(p, -1.0 - i * 0.37, 1) for i, p in enumerate(pieces)], *[(f"<0x{b:02X}>", -30.0, 6) for b in range(256)]]
+    data = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, k)) for p, s, k in rows)
+    return data + _field(2, _field(3, 1) + _field(35, 1)) + _field(3, _field(1, b"identity") + _field(3, 1) + _field(4, squeeze))
+
+
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_unigram_models_with_byte_fallback(squeeze):
+    pytest.importorskip("sentencepiece")
+    from sentencepiece import SentencePieceProcessor
+
+    data = unigram_model(squeeze)
+    own, codec = SentencePieceProcessor(model_proto=data), sentencepiece_codec.Codec(*sentencepiece_codec.rebuild(data))
+    texts = ["the she", "  the   she ", "hé the\n", "x", "thethe she the", "", "<0x41> the<0x42>s", "the "]
+    ids = codec.encode(texts)
+    assert [i.tolist() for i in ids] == own.encode(texts) and codec.decode(ids) == own.decode(own.encode(texts))
+
+
+def test_bad_model_files():
+    with pytest.raises(ValueError):
+        sentencepiece_codec.parse_model(unigram_model(0)[:-3])
+    with pytest.raises(ValueError):
+        sentencepiece_codec.parse_model(_field(2, _field(3, 4)))
+
+
+# 9 -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("block", "entries"), [(2_000_000, 4_000_000), (50, 100)])
+def test_stupid_backoff(docs, empty, monkeypatch, block, entries):
+    import math
+
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(lm_score, "SLICE_ENTRIES", entries)
+    rows = docs.collect()
+    w = [(r.text or "").encode().lower().split() for r in rows]
+    c = Counter(tuple(x[i : i + n]) for x in w for n in (1, 2, 3) for i in range(len(x) - n + 1))
+    total = sum(map(len, w))
+
+    def s(x, i, n):
+        if n == 1:
+            return c[(x[i],)] / total
+        g = tuple(x[i - n + 1 : i + 1])
+        return c[g] / c[g[:-1]] if c[g] >= lm_score.MIN_COUNT else lm_score.ALPHA * s(x, i, n - 1)
+
+    expected = sorted((repr(r.doc_id), len(x), sum(math.log(s(x, i, min(3, i + 1))) for i in range(len(x)))) for r, x in zip(rows, w))
+    got = sorted((repr(r.doc_id), r.n_words, r.log_sum) for r in lm_score.query(docs).collect())
+    assert [g[:2] for g in got] == [e[:2] for e in expected] and [g[2] for g in got] == pytest.approx([e[2] for e in expected], abs=1e-5)
+    assert lm_score.query(empty).count() == 0
+
+
+# 10 ----------------------------------------------------------------------
+
+
+def brute_suffix(rows, n=400):
+    c = Counter(t[i : i + n] for _, t in rows for i in range(len(t) - n + 1))
+    out = Counter()
+    for d, t in rows:
+        spans = suffix_dedup.removed_spans([(i, i) for i in range(len(t) - n + 1) if c[t[i : i + n]] > 1])
+        kept, last = b"", 0
+        for a, b in spans:
+            kept, last = kept + t[last:a], b
+        kept += t[last:]
+        out[(d, len(t), len(t) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize(("group", "stretch", "block"), [(4096, 1 << 20, 2 << 20), (1, 1 << 20, 2 << 20), (4096, 100, 1)])
+def test_suffix_dedup(docs, empty, monkeypatch, group, stretch, block):
+    """Also with every shared bucket taken as oversized, and with tiny stretches and blocks."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_CONTEXTS", group)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    expected = brute_suffix(rows)
+    assert sum(k[2] for k in expected) > 1000
+    assert Counter(tuple(r) for r in suffix_dedup.query(docs).collect()) == expected
+    assert suffix_dedup.query(empty).count() == 0
+
+
+def test_cover_ranks_equal_brute_force():
+    r = random.Random(9)
+    for _ in range(5):
+        shared = bytes(r.randrange(97, 100) for _ in range(700))
+        texts = [bytes(r.randrange(97, 100) for _ in range(r.randrange(0, 300))) + shared[r.randrange(200) : r.randrange(450, 700)] + bytes(r.randrange(97, 100) for _ in range(r.randrange(0, 200))) for _ in range(6)] + [b"a" * 900, b"", b"x" * 400]
+        c = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+        got = suffix_dedup.repeated_suffixes(texts)
+        assert [g.tolist() for g in got] == [[c[t[i : i + 400]] > 1 for i in range(len(t) - 399)] for t in texts]
+    diffs = {(a - b) % 16 for a in suffix_dedup.COVER for b in suffix_dedup.COVER}
+    assert diffs == set(range(16))
