@@ -1,10 +1,13 @@
 """Stupid-backoff language-model scores over n-gram counts of the whole corpus.
 
-The corpus is written as blocks of hashed tokens. A block's n-grams, each
-once with its count, are exploded into slices of the hash space and shuffled
-by slice; a slice's task sums them into its part of the count table and joins
-the table back to every block's n-grams; the counts return to their blocks,
-where each document's words are scored and summed.
+The corpus is written as a table of blocks of hashed tokens, bucketed by
+block. A block's n-grams, each once with its count, are exploded into slices
+of the hash space and shuffled by slice; a slice's task sums them into its
+part of the count table and joins the table back to every block's n-grams; the
+counts return to their blocks, where each document's words are scored and
+summed. Words and pairs go first; an n-gram of three or more words follows in
+a round of its own, and only where both its shorter parts are met MIN_COUNT
+times, since else it is not either.
 
 An n-gram travels once per block and slice however often it occurs, in sorted
 runs of hashes that pack well, and a slice holds about SLICE_ENTRIES entries
@@ -23,6 +26,7 @@ result.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,15 +72,25 @@ def _unpack(data: bytes) -> bytes:
 
 
 def _pack_tokens(tokens: np.ndarray) -> bytes:
-    words, ids = np.unique(tokens, return_inverse=True)
-    return _pack(np.array([len(words)], dtype=np.int64), words, ids.astype(np.uint32))
+    words, ids, n = np.unique(tokens, return_inverse=True, return_counts=True)
+    # Frequent words first: small numbers, whose upper bytes are mostly zero.
+    rank = np.argsort(np.argsort(-n, kind="stable"), kind="stable")
+    planes = np.ascontiguousarray(rank[ids.reshape(-1)].astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    differences = np.ascontiguousarray(np.diff(words, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    return _pack(np.array([len(words)], dtype=np.int64), differences, rank.astype(np.uint32), planes)
 
 
 def _unpack_tokens(data: bytes) -> np.ndarray:
     raw = _unpack(data)
     n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
-    words = np.frombuffer(raw, dtype=np.uint64, offset=8, count=n)
-    return words[np.frombuffer(raw, dtype=np.uint32, offset=8 + 8 * n)] if n else np.zeros(0, dtype=np.uint64)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    differences = np.frombuffer(raw, dtype=np.uint8, offset=8, count=8 * n).reshape(8, n)
+    words = np.cumsum(np.ascontiguousarray(differences.T).view(np.uint64).ravel(), dtype=np.uint64)
+    by_rank = np.empty_like(words)
+    by_rank[np.frombuffer(raw, dtype=np.uint32, offset=8 + 8 * n, count=n)] = words
+    planes = np.frombuffer(raw, dtype=np.uint8, offset=8 + 12 * n).reshape(4, -1)
+    return by_rank[np.ascontiguousarray(planes.T).view(np.uint32).ravel()]
 
 
 def _pack_sorted(h: np.ndarray, c: np.ndarray) -> bytes:
@@ -164,31 +178,84 @@ def _blocks(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, BLOCK.format(id=id_type.simpleString()))
 
 
-def _entries(tokens: np.ndarray, begins: list[int], leads: list[int], counts: list[int], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The n-gram hashes per order, and which tokens are a text's own rather than context."""
-    b, n = np.array(begins, dtype=np.int64), np.array(counts, dtype=np.int64)
-    begin = np.repeat(b, n)
-    own = np.arange(len(tokens)) - begin >= np.repeat(np.array(leads, dtype=np.int64), n)
-    return ngram_hashes(tokens, begin, order), own
+def rounds_of(order: int) -> list[list[int]]:
+    """Orders counted together: words and pairs first, then one longer order at a time."""
+    return [list(range(1, min(order, 2) + 1)), *[[n] for n in range(3, order + 1)]]
+
+
+def _own(texts: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of a block the index at which its text begins, and whether it is the text's own rather than context."""
+    n = np.array(texts["n"], dtype=np.int64)
+    begin = np.repeat(np.array(texts["begin"], dtype=np.int64), n)
+    return begin, np.arange(len(begin)) - begin >= np.repeat(np.array(texts["lead"], dtype=np.int64), n)
+
+
+def _asked(hashes: list[np.ndarray], counts: list[np.ndarray], orders: list[int]) -> list[np.ndarray]:
+    """Which tokens end an n-gram worth counting: one of three or more is met MIN_COUNT times only if both its shorter parts are."""
+    out = []
+    for n in orders:
+        ask = hashes[n - 1] != 0
+        if n > 2:
+            often = counts[n - 2] >= MIN_COUNT
+            ask = ask & often
+            ask[1:] &= often[:-1]
+        out.append(ask)
+    return out
+
+
+def _lookup(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """values of h among the sorted keys, 0 where there is none; looked up in order, which is kinder to the cache."""
+    out = np.zeros(len(h), dtype=np.int64)
+    if len(keys):
+        order = np.argsort(h)
+        at = np.minimum(np.searchsorted(keys, h[order]), len(keys) - 1)
+        out[order] = np.where(keys[at] == h[order], values[at], 0)
+    return out
+
+
+def _known(texts: dict, order: int, answers: list[list[bytes]]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """n-gram hashes of a block, the counts that the rounds so far gave them, and _own."""
+    begin, own = _own(texts)
+    hashes = ngram_hashes(_unpack_tokens(texts["tokens"]), begin, order)
+    counts: list[np.ndarray] = []
+    for orders, got in zip(rounds_of(order), answers):
+        masks = _asked(hashes, counts, orders)
+        keys = np.unique(np.concatenate([hashes[n - 1][m] for n, m in zip(orders, masks)]))
+        parts = [np.ascontiguousarray(np.frombuffer(_unpack(x), dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in got]
+        values = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        counts += [np.where(m, _lookup(keys, values, hashes[n - 1]), 0) for n, m in zip(orders, masks)]
+    return hashes, counts, begin, own
+
 
+_TEXTS = ["block", "begin", "lead", "n", "tokens"]
 
-def _explode(blocks: DataFrame, order: int, slices: int) -> DataFrame:
-    """(slice, block, entries): a block's distinct n-grams of all orders with their counts, by slice of the hash space."""
+
+def _explode(blocks: DataFrame, order: int, answered: list[str], slices: int) -> DataFrame:
+    """(slice, block, entries): a block's distinct n-grams of the next round with their counts, by slice of the hash space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = rounds_of(order)[len(answered)]
         for batch in batches:
-            for row in batch.to_pylist():
-                hashes, own = _entries(_unpack_tokens(row["tokens"]), row["begin"], row["lead"], row["n"], order)
-                # Context counts where the text's earlier part has it; here its counts are only asked for.
-                h, back = np.unique(np.concatenate([x[x != 0] for x in hashes]), return_inverse=True)
-                c = np.bincount(back.reshape(-1), weights=np.concatenate([own[x != 0] for x in hashes]), minlength=len(h)).astype(np.int64)
+            for row in _rows(batch):
+                hashes, counts, _, own = _known(row, order, [row[a] or [] for a in answered])
+                masks = _asked(hashes, counts, orders)
+                h, c = np.unique(np.concatenate([hashes[n - 1][m & own] for n, m in zip(orders, masks)]), return_counts=True)
+                # A context's n-grams are counted with the text's earlier part; here their counts are only asked for.
+                more = np.setdiff1d(np.concatenate([hashes[n - 1][m & ~own] for n, m in zip(orders, masks)]), h)
+                at = np.searchsorted(h, more)
+                h, c = np.insert(h, at, more), np.insert(c, at, 0)
                 of = _slice_of(h, slices)
                 edges = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(h) else []
-                ends = [*edges[1:], len(h)]
-                for a, b in zip(edges, ends):
+                for a, b in zip(edges, [*edges[1:], len(h)]):
                     yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int32()), pa.array([row["block"]], pa.string()), pa.array([_pack_sorted(h[a:b], c[a:b])], pa.binary())], names=["slice", "block", "entries"])
 
-    return blocks.select("block", "begin", "lead", "n", "tokens").mapInArrow(run, "slice int, block string, entries binary")
+    return blocks.select(*_TEXTS, *answered).mapInArrow(run, "slice int, block string, entries binary")
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one at a time: each holds a whole block."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
 def _slice_of(h: np.ndarray, slices: int) -> np.ndarray:
@@ -203,22 +270,23 @@ def _join_counts(entries: DataFrame) -> DataFrame:
         now = None
 
         def joined() -> Iterator[pa.RecordBatch]:
-            # The slice of the count table, then its join with every block's entries.
-            table, back = np.unique(np.concatenate([h for _, h, _ in held]), return_inverse=True)
-            total = np.bincount(back.reshape(-1), weights=np.concatenate([c for _, _, c in held]), minlength=len(table)).astype(np.int64)
-            at = 0
-            for block, h, _ in held:
-                c = total[back.reshape(-1)[at : at + len(h)]]
-                at += len(h)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.string()), pa.array([now], pa.int32()), pa.array([_pack(c.view(np.uint8).reshape(-1, 8).T.copy())], pa.binary())], names=["block", "slice", "counts"])
+            # The slice of the count table, then its join with every block's entries; both sides are sorted.
+            table = np.unique(np.concatenate([h for _, h, _ in held]))
+            places = [np.searchsorted(table, h) for _, h, _ in held]
+            total = np.zeros(len(table), dtype=np.int64)
+            for at, (_, _, c) in zip(places, held):
+                total[at] += c  # a block has a key once
+            for at, (block, _, _) in zip(places, held):
+                packed = _pack(total[at].view(np.uint8).reshape(-1, 8).T.copy())
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.string()), pa.array([now], pa.int32()), pa.array([packed], pa.binary())], names=["block", "slice", "counts"])
 
         for batch in batches:
-            for s, block, data in zip(*[c.to_pylist() for c in batch.columns]):
-                if s != now and held:
+            for row in _rows(batch):
+                if row["slice"] != now and held:
                     yield from joined()
                     held = []
-                now = s
-                held.append((block, *_unpack_sorted(data)))
+                now = row["slice"]
+                held.append((row["block"], *_unpack_sorted(row["entries"])))
         if held:
             yield from joined()
 
@@ -239,63 +307,49 @@ def backoff(counts: list[np.ndarray], begin: np.ndarray, total: int, alpha: floa
     return score
 
 
-def _score(blocks: DataFrame, counts: DataFrame, order: int, total: int) -> DataFrame:
+def _score(blocks: DataFrame, order: int, answered: list[str], total: int) -> DataFrame:
     """(uid, doc_id, n_words, log_sum) of the parts of texts in each block."""
     id_type = blocks.schema["doc_id"].dataType.elementType
-    left = blocks.select("block", F.lit(-1).alias("slice"), F.lit(None).cast("binary").alias("counts"), F.struct(*[c for c in blocks.columns if c != "block"]).alias("texts"))
-    right = counts.select("block", "slice", "counts", F.lit(None).cast(left.schema["texts"].dataType).alias("texts"))
-    # A block and its counts meet in one task, the texts first.
-    both = left.unionAll(right).repartition("block").sortWithinPartitions("block", "slice")
     schema = T.StructType([T.StructField("uid", T.StringType()), T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("log_sum", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        texts: dict | None = None
-        got: list[np.ndarray] = []
-
-        def scored() -> pa.RecordBatch:
-            tokens = _unpack_tokens(texts["tokens"])
-            hashes, own = _entries(tokens, texts["begin"], texts["lead"], texts["n"], order)
-            begin = np.repeat(np.array(texts["begin"], dtype=np.int64), np.array(texts["n"], dtype=np.int64))
-            keys = np.unique(np.concatenate([h[h != 0] for h in hashes]))
-            table = np.concatenate(got) if got else np.zeros(0, dtype=np.int64)
-            c = []
-            for h in hashes:
-                at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                c.append(np.where(keys[at] == h, table[at], 0) if len(keys) else np.zeros(len(h), dtype=np.int64))
-            s = backoff(c, begin, total)
-            sums = np.concatenate(([0.0], np.cumsum(np.where(own, s, 0.0))))
-            b = np.array(texts["begin"], dtype=np.int64)
-            n = np.array(texts["n"], dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(texts["uid"], arrow[0].type), pa.array(texts["doc_id"], arrow[1].type), pa.array(n - np.array(texts["lead"], dtype=np.int64)), pa.array(sums[b + n] - sums[b])], schema=arrow)
-
         for batch in batches:
-            for row in zip(*[batch.column(k) for k in range(4)]):
-                if row[1].as_py() == -1:
-                    if texts is not None:
-                        yield scored()
-                    texts, got = row[3].as_py(), []
-                else:
-                    raw = _unpack(row[2].as_py())
-                    got.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel())
-        if texts is not None:
-            yield scored()
+            for row in _rows(batch):
+                _, counts, begin, own = _known(row, order, [row[a] or [] for a in answered])
+                s = backoff(counts, begin, total)
+                sums = np.concatenate(([0.0], np.cumsum(np.where(own, s, 0.0))))
+                b, n, lead = (np.array(row[k], dtype=np.int64) for k in ("begin", "n", "lead"))
+                yield pa.RecordBatch.from_arrays([pa.array(row["uid"], arrow[0].type), pa.array(row["doc_id"], arrow[1].type), pa.array(n - lead), pa.array(sums[b + n] - sums[b])], schema=arrow)
 
-    return both.select("block", "slice", "counts", "texts").mapInArrow(run, schema)
+    return blocks.select(*_TEXTS, "uid", "doc_id", *answered).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_sum and log_mean (per word) of every row of docs (doc_id, text)."""
-    scratch = Scratch(docs.sparkSession, "lm")
-    blocks = scratch.write(_blocks(docs.select("doc_id", "text"), order), "blocks")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm")
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Bucketed by block, so that a round's answers come to the blocks and the blocks stay where they are.
+    _blocks(docs.select("doc_id", "text"), order).write.format("parquet").option("compression", "uncompressed").bucketBy(buckets, "block").saveAsTable(name)
+    blocks = spark.table(name)
     own = F.aggregate(F.zip_with("n", "lead", lambda a, b: a - b), F.lit(0).cast("long"), lambda a, x: a + x)
     total = int(blocks.agg(F.sum(own)).first()[0] or 0)
     slices = max(1, -(-total * order // SLICE_ENTRIES))
-    entries = _explode(blocks, order, slices).repartition("slice").sortWithinPartitions("slice", "block")
-    counts = scratch.write(_join_counts(entries), "counts")
-    parts = _score(blocks, counts, order, total)
+    answered: list[str] = []
+    for k, _ in enumerate(rounds_of(order)):
+        entries = _explode(blocks, order, answered, slices).repartition("slice").sortWithinPartitions("slice", "block")
+        counts = scratch.write(_join_counts(entries), f"counts{k}")
+        # One list of a block's slices, about as many bytes as it has n-grams.
+        answer = counts.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "counts"))), lambda x: x["counts"]).alias(f"answer{k}"))
+        blocks = blocks.join(answer, "block", "left")
+        answered.append(f"answer{k}")
+    parts = scratch.write(_score(blocks, order, answered, total), "parts")
+    spark.sql(f"DROP TABLE {name}")
+    scratch.drop(*[f"counts{k}" for k in range(len(answered))])
     sums = parts.groupBy("uid", "doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_sum").alias("log_sum"))
     return sums.select("doc_id", "n_words", "log_sum", F.when(F.col("n_words") > 0, F.col("log_sum") / F.col("n_words")).alias("log_mean"))
 
