@@ -154,13 +154,13 @@ def build(m: Model):
     t = Tokenizer(core)
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A | \z"), "")]
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     steps.append(normalizers.Replace(" ", MARK))
     if m.squeeze:
         # Markers at the end go with the spaces, those that the text had itself as well.
-        steps.append(normalizers.Replace(Regex(f"{MARK}+$"), ""))
+        steps.append(normalizers.Replace(Regex(rf"{MARK}+\z"), ""))
     t.normalizer = normalizers.Sequence(steps)
     if cuttable(m):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
@@ -173,12 +173,12 @@ def build(m: Model):
 class Codec:
     """A rebuilt model that encodes and decodes batches."""
 
-    def __init__(self, tokenizer: str, pieces: list[list], cut: bool, plain: bool, prefix: bool, unigram: bool):
+    def __init__(self, tokenizer: str, pieces: list[list], cut: bool, plain: bool, prefix: bool, squeeze: bool, unigram: bool):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(tokenizer)
         self.words = Tokenizer(self.whole.model)
-        self.cut, self.plain, self.prefix = cut, plain, prefix
+        self.cut, self.plain, self.prefix, self.squeeze = cut, plain, prefix, squeeze
         self.byte_ids = np.array([i for i, (_, kind, _) in enumerate(pieces) if kind == BYTE], dtype=np.int64)
         self.bytes_of = [_piece_bytes(p, kind) for p, kind, _ in pieces]
         # The library's unigram model takes a byte piece's name in a text for the piece; such words are encoded here.
@@ -233,6 +233,8 @@ class Codec:
         out = []
         for own in ids:
             text = b"".join(map(self.bytes_of.__getitem__, own.tolist())).decode("utf-8", "replace")
+            if self.squeeze:
+                text = text.lstrip(" ")
             out.append(text[1:] if self.prefix and text.startswith(" ") else text)
         return out
 
@@ -261,7 +263,7 @@ def rebuild(data: bytes) -> tuple:
     """What Codec needs, from the bytes of a model file."""
     m = parse_model(data)
     cut = cuttable(m) and not any(kind == USER for _, _, kind in m.pieces)
-    parts = build(m).to_str(), [[p, kind, s] for p, s, kind in m.pieces], cut, not m.charsmap and not m.squeeze, m.dummy_prefix, m.kind == UNIGRAM
+    parts = build(m).to_str(), [[p, kind, s] for p, s, kind in m.pieces], cut, not m.charsmap and not m.squeeze, m.dummy_prefix, m.squeeze, m.kind == UNIGRAM
     verify(data, Codec(*parts))
     return parts
 
