@@ -138,9 +138,11 @@ WITH d AS (
 ), w AS (
     SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
 ), g AS (
-    SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3
+    SELECT rid, unnest(ws) AS a, unnest(range(len(ws))) AS i FROM w
+), t AS (
+    SELECT rid, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM g WINDOW o AS (PARTITION BY rid ORDER BY i)
 ), r AS (
-    SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS c FROM g
+    SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS c FROM t WHERE c IS NOT NULL
 ), covered AS (
     SELECT rid, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) o(k) WHERE c > 1 GROUP BY rid
 ), l AS (
