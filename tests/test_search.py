@@ -91,3 +91,12 @@ def test_schema_merging(spark):
     out = C.union_streams([a, b])
     assert out.columns == ["a", "b", "n"] and out.schema["n"].dataType == T.DoubleType()
     assert sorted(r.n for r in out.collect()) == [1.0, 2.5]
+
+
+def test_lineage(spark):
+    from tarn.plans.lineage import lineage
+
+    spark.createDataFrame([(1, 2, "x")], "a int, b int, c string").createOrReplaceTempView("lin")
+    df = spark.sql("SELECT total + 1 AS up, c, 5 AS five FROM (SELECT c, sum(a * b) AS total FROM lin GROUP BY c)")
+    assert lineage(df) == {"up": {"a", "b"}, "c": {"c"}, "five": set()}
+    assert lineage(spark.sql("SELECT a AS x FROM lin UNION ALL SELECT b FROM lin"))["x"] == {"a", "b"}
