@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +14,28 @@ KINDS = ("logs", "metrics", "traces", "metadata", "enrichment")
 _WIDER = ["tinyint", "smallint", "int", "bigint", "float", "double", "string"]
 
 
-@dataclass
 class Stream:
-    name: str
-    kind: str
-    frame: DataFrame
-    time_column: str | None = None
-    text_columns: Sequence[str] = ()
-    hidden_columns: Sequence[str] = field(default_factory=tuple)
+    """A table with its roles; a path is opened when its columns are first needed."""
+
+    def __init__(self, name: str, kind: str, source: DataFrame | Callable[[], DataFrame], time_column: str | None = None, text_columns: Sequence[str] | None = None, hidden_columns: Sequence[str] = ()):
+        self.name = name
+        self.kind = kind
+        self.hidden_columns = tuple(hidden_columns)
+        self._source = source
+        self._time = time_column
+        self._text = text_columns
+
+    @cached_property
+    def frame(self) -> DataFrame:
+        return self._source if isinstance(self._source, DataFrame) else self._source()
+
+    @cached_property
+    def time_column(self) -> str | None:
+        return self._time or ("_timestamp" if "_timestamp" in self.frame.columns else None)
+
+    @cached_property
+    def text_columns(self) -> list[str]:
+        return list(self._text) if self._text is not None else [f.name for f in self.frame.schema if isinstance(f.dataType, T.StringType)]
 
     @property
     def time_is_timestamp(self) -> bool:
@@ -55,12 +69,8 @@ class Catalog:
     def register(self, name: str, source: str | DataFrame, kind: str = "logs", time_column: str | None = None, text_columns: Sequence[str] | None = None, hidden_columns: Sequence[str] = ()) -> Stream:
         if kind not in KINDS:
             raise ValueError(f"unknown kind {kind!r}")
-        frame = self.spark.read.parquet(source) if isinstance(source, str) else source
-        if time_column is None and "_timestamp" in frame.columns:
-            time_column = "_timestamp"
-        if text_columns is None:
-            text_columns = [f.name for f in frame.schema if isinstance(f.dataType, T.StringType)]
-        stream = Stream(name, kind, frame, time_column, list(text_columns), tuple(hidden_columns))
+        opened = (lambda: self.spark.read.parquet(source)) if isinstance(source, str) else source
+        stream = Stream(name, kind, opened, time_column, text_columns, hidden_columns)
         self.streams[(kind, name)] = stream
         return stream
 

@@ -70,8 +70,8 @@ class Engine:
         return out
 
     def _functions(self, sql: str, request: Request, streams: list[Stream]) -> str:
-        texts = [c for s in streams for c in s.text_columns]
-        times = {s.time_column: s for s in streams if s.time_column}
+        def texts() -> list[str]:
+            return [c for s in streams for c in s.text_columns]
 
         def histogram(args: list[str]) -> str:
             column = args[0].split(".")[-1].strip('"`')
@@ -81,17 +81,17 @@ class Engine:
                 width = timefn.interval_us(request.interval)
             else:
                 width = timefn.auto_interval_us(request.start_us, request.end_us)
-            stream = times.get(column)
+            stream = next((s for s in streams if s.time_column == column), None)
             us = f"unix_micros(CAST({args[0]} AS TIMESTAMP))" if stream is not None and stream.time_is_timestamp else args[0]
             return f"CAST(timestamp_micros(bucket_us({us}, {width})) AS TIMESTAMP_NTZ)"
 
         def match_all(args: list[str]) -> str:
             self._check_match(sql, streams)
-            return "(" + " OR ".join(f"contains(lower({c}), lower({args[0]}))" for c in texts) + ")"
+            return "(" + " OR ".join(f"contains(lower({c}), lower({args[0]}))" for c in texts()) + ")"
 
         def fuzzy_all(args: list[str]) -> str:
             self._check_match(sql, streams)
-            return "(" + " OR ".join(f"fuzzy_match({c}, {args[0]}, {args[1] if len(args) > 1 else 1})" for c in texts) + ")"
+            return "(" + " OR ".join(f"fuzzy_match({c}, {args[0]}, {args[1] if len(args) > 1 else 1})" for c in texts()) + ")"
 
         def date_format(args: list[str]) -> str | None:
             if len(args) != 3:
