@@ -104,26 +104,40 @@ def links(fps: DataFrame) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _roots(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, least, root) per distinct fingerprint of own (id, fp): the least id with it, and the least fingerprint reachable over links."""
+    distinct = scratch.write(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    roots = components(links(distinct.select("fp")), scratch)
+    return distinct.join(roots, distinct["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component) per row of docs; component is the least id reachable over links."""
     scratch = Scratch(docs.sparkSession, "simhash")
     own = scratch.write(fingerprints(docs.select(id_col, text_col), text_col, [id_col]).select(F.col(id_col).alias("id"), "fp"), "fps")
-    distinct = scratch.write(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp")), scratch)
-    grouped = distinct.join(roots, distinct["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = _roots(own, scratch)
     named = grouped.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = scratch.write(grouped.join(named, "root").select("fp", "component"), "by_fp")
     return own.join(by_fp, "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: that with the least id, and of rows that share it the least text."""
-    found = classes(docs, id_col, text_col)
-    keepers = found.filter(F.col("id").eqNullSafe(F.col("component"))).groupBy("component").agg(F.count(F.lit(1)).alias("rows")).select(F.col("component").alias("keeper"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"))
-    kept = packed.join(keepers, packed["id"].eqNullSafe(keepers["keeper"]), "left_semi")
-    # Rows that share a keeper's id: the first in a fixed order stays, found by a partial aggregate.
-    one = kept.groupBy("id").agg(F.min(F.struct(*[F.col("doc").getField(c).alias(c) for c in docs.columns])).alias("doc"))
+    """docs with one document of each component: that with the least id (a null one is last), and of rows that share it the least digest of the text.
+
+    A component is known by its root, so documents without an id, or under an
+    id that others have as well, stand for themselves.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    key = F.coalesce(F.md5(F.col(f"`{text_col}`")), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), key.alias("key"))
+    own = scratch.write(fingerprints(rows, "text", ["id", "key"]), "fps")
+    by_fp = scratch.write(_roots(own, scratch).select("fp", "root"), "by_fp")
+    first = own.join(by_fp, "fp").groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "key")).alias("first"))
+    keepers = first.select(F.col("first.id").alias("keeper"), F.col("first.key").alias("keeper_key"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"), key.alias("key"))
+    kept = packed.join(keepers, packed["id"].eqNullSafe(keepers["keeper"]) & (packed["key"] == keepers["keeper_key"]), "left_semi")
+    # Rows that agree in id and text: the first in a fixed order stays, found by a partial aggregate.
+    one = kept.groupBy("id", "key").agg(F.min(F.struct(*[F.col("doc").getField(c).alias(c) for c in docs.columns])).alias("doc"))
     return one.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 

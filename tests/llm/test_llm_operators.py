@@ -324,6 +324,14 @@ def test_keep_one_of_each_group(docs):
     assert {r.doc_id for r in out.collect()} == {r.component_id for r in found}
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    text = {k: " ".join(f"{k}{i * i % 83}" for i in range(60)) for k in "abcdef"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (None, text["c"]), (7, text["c"]), (8, text["d"]), (8, text["e"]), (8, text["e"]), (9, text["e"]), (None, text["f"]), (None, None), (3, None)]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = [(None, text["a"]), (None, text["b"]), (7, text["c"]), (8, text["d"]), (8, text["e"]), (None, text["f"]), (3, None)]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(kept)
+
+
 # 7 -----------------------------------------------------------------------
 
 
