@@ -80,13 +80,14 @@ def template(text: Column) -> Column:
     return text
 
 
-def patterns(df: DataFrame, text_column: str, size: int = 100) -> DataFrame:
-    """The most frequent templates with their count, share and an example."""
+def patterns(df: DataFrame, text_column: str, size: int | None = 100) -> DataFrame:
+    """The most frequent templates (all if size is None) with their count, share and an example."""
     counted = df.filter(F.col(text_column).isNotNull()).groupBy(template(F.col(text_column)).alias("pattern")).agg(F.count(F.lit(1)).alias("num"), F.min(text_column).alias("example"))
     total = counted.agg(F.sum("num").alias("__total"))
     # One row, so broadcast.
     shared = counted.join(F.broadcast(total)).withColumn("share", F.col("num") / F.col("__total")).drop("__total")
-    return shared.orderBy(F.desc("num"), "pattern").limit(size)
+    ordered = shared.orderBy(F.desc("num"), "pattern")
+    return ordered if size is None else ordered.limit(size)
 
 
 def apply_rows(df: DataFrame, function, schema: str, whole: bool = False) -> DataFrame:

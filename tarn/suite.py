@@ -187,7 +187,7 @@ def _(spark, sf_dir):
 
 @_frame("log_patterns", r"SELECT pattern, num, example, num * 1.0 / sum(num) OVER () AS share FROM (SELECT regexp_replace(props, '[-+]?\b\d+(?:\.\d+)?', '<num>', 'g') AS pattern, count(*) AS num, min(props) AS example FROM events GROUP BY 1)")
 def _(spark, sf_dir):
-    return jobs.patterns(table(spark, sf_dir, "events"), "props")
+    return jobs.patterns(table(spark, sf_dir, "events"), "props", size=None)
 
 
 # JSON ------------------------------------------------------------------------

@@ -43,3 +43,8 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_log_patterns_has_no_limit(spark, tmp_path):
+    spark.createDataFrame([(f"event {'x' * (i + 1)} took {i} ms",) for i in range(150)], "props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert suite.QUERIES["log_patterns"](spark, str(tmp_path)).count() == 150
