@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 # Rows handed to a batch function at once; bounds a worker's memory, not the result.
 ROWS_PER_BATCH = 512
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +43,20 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-        """Write df as Parquet and return the table read back with the schema it had."""
+    def write(self, df: DataFrame, name: str, partition_by: Sequence[str] = (), dictionary_mb: int = 1) -> DataFrame:
+        """Write df as Parquet and return the table read back with the schema it had.
+
+        The shuffles that made it go when it is written: they would else stay
+        on the executors' disks until the driver collects its garbage.
+        """
         path = self.path(name)
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        writer = df.write.mode("overwrite").option("compression", "zstd").option("parquet.dictionary.page.size", dictionary_mb << 20)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -74,7 +84,7 @@ def map_rows(
     names = {f.name.lower() for f in fields.fields}
     inside = text_col in carry
     packed = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry], F.lit(0).alias("__pad")).alias("row"),
+        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.lit(0).alias("pad")).alias("row"),
         *([] if inside else [F.col(f"`{text_col}`").alias("text")]),
     )
     out_schema = T.StructType([packed.schema["row"], T.StructField("out", fields)])
@@ -95,7 +105,7 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays([row, out], names=["row", "out"])
 
     mapped = packed.mapInArrow(run, out_schema)
-    kept = [F.col("row").getField(c).alias(c) for c in carry if c.lower() not in names]
+    kept = [F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(carry) if c.lower() not in names]
     return mapped.select(*kept, *[F.col("out").getField(f.name).alias(f.name) for f in fields.fields])
 
 

@@ -1,38 +1,48 @@
-"""Stupid-backoff language-model scores over n-gram counts of the whole corpus.
-
-The corpus is written as a table of blocks of hashed tokens, bucketed by
-block. A block's n-grams, each once with its count, are exploded into slices
-of the hash space and shuffled by slice; a slice's task sums them into its
-part of the count table and joins the table back to every block's n-grams; the
-counts return to their blocks, where each document's words are scored and
-summed. Words and pairs go first; an n-gram of three or more words follows in
-a round of its own, and only where both its shorter parts are met MIN_COUNT
-times, since else it is not either.
-
-An n-gram travels once per block and slice however often it occurs, in sorted
-runs of hashes that pack well, and a slice holds about SLICE_ENTRIES entries
-at any corpus size, so neither frequent n-grams nor long texts gather in one
-task. Long texts go on from block to block.
+"""Stupid-backoff language-model scores over the n-gram counts of a corpus.
+
+The texts are written once as rows of hashed words. From them n-grams are
+exploded, dealt into slices of the hash space and shuffled by slice; in a slice
+the rows (h, uid, n, a, b) are sorted by hash, the corpus count of each hash
+is summed and joined to all rows of that hash, and what the rows add to their
+documents' scores is summed per document. The count table and its join are one
+window over (h, slice): both sides are dealt and sorted alike, so neither is
+moved a second time. One row stands for all places of a document that need the
+same n-gram: n times it occurs, a times it ends a word's scored context, b
+times it is the context of a scored word. Between map and slice, rows travel as
+one row of arrays per slice and block, which leaves the hash as the only bytes
+that do not compress.
 
 S(w | context) = c(context w) / c(context) where c(context w) is at least
-MIN_COUNT, else ALPHA * S(w | shorter context); a word alone scores its share
-of all words. N-grams are known by 64-bit hashes of words in lower case (A-Z).
+min_count, else ALPHA * S(w | shorter context); a word alone scores its share
+of all words, or ALPHA of a single word's share if the corpus lacks it. N-grams
+are known by 64-bit hashes of words in lower case (A-Z).
+
+Where the corpus is the scored texts themselves and min_count is 1, every
+n-gram that is asked for is met, so nothing backs off and all orders can be
+counted without waiting for one another. Otherwise orders follow each other
+from the longest down, and a document carries the n-grams that were not met
+into the next round.
+
+Slices hold about SLICE_ENTRIES rows at any corpus size. An n-gram that a
+sample of the documents shows to be in more than one document of HOT_SHARE is
+counted by a plain aggregation with partial sums instead, and its count (at
+most HOT_LIMIT of them) sent to the map side, so a frequent n-gram gathers in
+no task; the sample steers only where an n-gram is counted. Long texts go on
+from row to row of BLOCK_TOKENS words.
 
 Defined results: a null or empty text has no words, sum 0 and a null mean;
 repeated rows are scored each and count each; an empty table gives an empty
-result.
+result; further columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +51,16 @@ from tarn.llm.common import Scratch
 
 ORDER = 3
 ALPHA = 0.4
-MIN_COUNT = 2
-BLOCK_TOKENS = 2_000_000
-SLICE_ENTRIES = 4_000_000
+MIN_COUNT = 1
+BLOCK_TOKENS = 1_000_000
+SLICE_ENTRIES = 2_000_000
+HOT_SHARE = 256
+HOT_LIMIT = 1 << 16
+#: One document in so many is looked at for frequent n-grams.
+HOT_SAMPLE = 64
 _CACHE = 500_000
+#: Rows that only count, for no document.
+_NOBODY = -1
 
 
 class _WordHashes(dict):
@@ -63,297 +79,287 @@ def token_hashes(text: bytes | None, cache: _WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, text.lower().split()), dtype=np.uint64)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
-
-
-def _unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
-def _pack_tokens(tokens: np.ndarray) -> bytes:
-    words, ids, n = np.unique(tokens, return_inverse=True, return_counts=True)
-    # Frequent words first: small numbers, whose upper bytes are mostly zero.
-    rank = np.argsort(np.argsort(-n, kind="stable"), kind="stable")
-    planes = np.ascontiguousarray(rank[ids.reshape(-1)].astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
-    differences = np.ascontiguousarray(np.diff(words, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
-    return _pack(np.array([len(words)], dtype=np.int64), differences, rank.astype(np.uint32), planes)
-
-
-def _unpack_tokens(data: bytes) -> np.ndarray:
-    raw = _unpack(data)
-    n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    differences = np.frombuffer(raw, dtype=np.uint8, offset=8, count=8 * n).reshape(8, n)
-    words = np.cumsum(np.ascontiguousarray(differences.T).view(np.uint64).ravel(), dtype=np.uint64)
-    by_rank = np.empty_like(words)
-    by_rank[np.frombuffer(raw, dtype=np.uint32, offset=8 + 8 * n, count=n)] = words
-    planes = np.frombuffer(raw, dtype=np.uint8, offset=8 + 12 * n).reshape(4, -1)
-    return by_rank[np.ascontiguousarray(planes.T).view(np.uint32).ravel()]
-
-
-def _pack_sorted(h: np.ndarray, c: np.ndarray) -> bytes:
-    """Sorted hashes as differences, a byte plane each, and their counts."""
-    planes = np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    return _pack(np.array([len(h)], dtype=np.int64), np.ascontiguousarray(planes), c.astype(np.int64).view(np.uint8).reshape(-1, 8).T.copy())
-
-
-def _unpack_sorted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = _unpack(data)
-    n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
-    planes = np.frombuffer(raw, dtype=np.uint8, offset=8).reshape(2, 8, n)
-    h = np.cumsum(np.ascontiguousarray(planes[0].T).view(np.uint64).ravel(), dtype=np.uint64)
-    return h, np.ascontiguousarray(planes[1].T).view(np.int64).ravel()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def ngram_hashes(tokens: np.ndarray, begin: np.ndarray, order: int) -> list[np.ndarray]:
-    """Per order, the hash of the n-gram that ends at each token (0 where a text has too few words before it).
+def ngram_hashes(tokens: np.ndarray, inner: np.ndarray, order: int) -> list[np.ndarray]:
+    """Per order, the hash of the n-gram that ends at each token (0 where its row has too few words before it).
 
-    begin: for each token the index at which its text begins.
+    inner: each token's place in its row.
     """
-    at = np.arange(len(tokens))
     out = [_mix(tokens + np.uint64(0x9E3779B97F4A7C15))]
     for n in range(2, order + 1):
         prior = np.zeros_like(tokens)
         prior[1:] = out[-1][:-1]
         h = _mix((prior * np.uint64(0xD6E8FEB86659FD93) + tokens) ^ np.uint64(n))
-        h[at - begin < n - 1] = 0
+        h[inner < n - 1] = 0
         out.append(h)
     return out
 
 
-BLOCK = "block string, uid array<string>, doc_id array<{id}>, begin array<long>, lead array<long>, n array<long>, tokens binary"
-
-
-def _blocks(docs: DataFrame, order: int) -> DataFrame:
-    """Blocks of texts: a text's part starts at ``begin`` with ``lead`` tokens of context and has n tokens with those."""
-    id_type = docs.schema["doc_id"].dataType
+def _tokens(docs: DataFrame, order: int) -> DataFrame:
+    """(uid, doc_id, lead, tokens): rows of at most BLOCK_TOKENS words of a text after ``lead`` words of context."""
+    schema = T.StructType([T.StructField("uid", T.LongType()), docs.schema["doc_id"], T.StructField("lead", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from pyspark.sql.pandas.types import to_arrow_type
 
-        task = TaskContext.get().partitionId()
+        uid = TaskContext.get().partitionId() << 40
         cache = _WordHashes()
-        held: list[tuple] = []
-        parts: list[np.ndarray] = []
-        size = serial = rows = 0
-        types = [pa.string(), pa.list_(pa.string()), pa.list_(to_arrow_type(id_type)), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-        names = ["block", "uid", "doc_id", "begin", "lead", "n", "tokens"]
-
-        def flush() -> pa.RecordBatch:
-            nonlocal size, serial
-            columns = [[f"{task}-{serial}"], *[[list(c)] for c in zip(*held)], [_pack_tokens(np.concatenate(parts))]]
-            held.clear()
-            parts.clear()
-            size, serial = 0, serial + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        def rows(uids: list, at: list, lead: list, parts: list, ids: pa.Array) -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            flat = pa.array(np.concatenate(parts).view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), ids.take(pa.array(at)), pa.array(lead, pa.int32()), pa.ListArray.from_arrays(ends, flat)], names=schema.names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
-                tokens = token_hashes(text.as_py(), cache)
-                uid, at = f"{task}-{rows}", 0
-                rows += 1
+            texts, ids = batch.column(1).cast(pa.binary()), batch.column(0)
+            uids, at, lead, parts, size = [], [], [], [], 0
+            for i in range(batch.num_rows):
+                tokens, done = token_hashes(texts[i].as_py(), cache), 0
                 while True:
-                    lead = min(at, order - 1)
-                    part = tokens[at - lead : at + BLOCK_TOKENS - size]
-                    held.append((uid, doc_id.as_py(), size, lead, len(part)))
+                    before = min(done, order - 1)
+                    part = tokens[done - before : done + BLOCK_TOKENS]
+                    uids.append(uid)
+                    at.append(i)
+                    lead.append(before)
                     parts.append(part)
-                    at += len(part) - lead
-                    size += len(part)
+                    done, size = done + BLOCK_TOKENS, size + len(part)
                     if size >= BLOCK_TOKENS:
-                        yield flush()
-                    if at >= len(tokens):
+                        yield rows(uids, at, lead, parts, ids)
+                        uids, at, lead, parts, size = [], [], [], [], 0
+                    if done >= len(tokens):
                         break
-        if held:
-            yield flush()
-
-    return docs.select("doc_id", "text").mapInArrow(run, BLOCK.format(id=id_type.simpleString()))
-
-
-def rounds_of(order: int) -> list[list[int]]:
-    """Orders counted together: words and pairs first, then one longer order at a time."""
-    return [list(range(1, min(order, 2) + 1)), *[[n] for n in range(3, order + 1)]]
-
-
-def _own(texts: dict) -> tuple[np.ndarray, np.ndarray]:
-    """For each token of a block the index at which its text begins, and whether it is the text's own rather than context."""
-    n = np.array(texts["n"], dtype=np.int64)
-    begin = np.repeat(np.array(texts["begin"], dtype=np.int64), n)
-    return begin, np.arange(len(begin)) - begin >= np.repeat(np.array(texts["lead"], dtype=np.int64), n)
-
-
-def _asked(hashes: list[np.ndarray], counts: list[np.ndarray], orders: list[int]) -> list[np.ndarray]:
-    """Which tokens end an n-gram worth counting: one of three or more is met MIN_COUNT times only if both its shorter parts are."""
-    out = []
-    for n in orders:
-        ask = hashes[n - 1] != 0
-        if n > 2:
-            often = counts[n - 2] >= MIN_COUNT
-            ask = ask & often
-            ask[1:] &= often[:-1]
-        out.append(ask)
-    return out
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """values of h among the sorted keys, 0 where there is none; looked up in order, which is kinder to the cache."""
-    out = np.zeros(len(h), dtype=np.int64)
-    if len(keys):
-        order = np.argsort(h)
-        at = np.minimum(np.searchsorted(keys, h[order]), len(keys) - 1)
-        out[order] = np.where(keys[at] == h[order], values[at], 0)
-    return out
-
-
-def _known(texts: dict, order: int, answers: list[list[bytes]]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """n-gram hashes of a block, the counts that the rounds so far gave them, and _own."""
-    begin, own = _own(texts)
-    hashes = ngram_hashes(_unpack_tokens(texts["tokens"]), begin, order)
-    counts: list[np.ndarray] = []
-    for orders, got in zip(rounds_of(order), answers):
-        masks = _asked(hashes, counts, orders)
-        keys = np.unique(np.concatenate([hashes[n - 1][m] for n, m in zip(orders, masks)]))
-        parts = [np.ascontiguousarray(np.frombuffer(_unpack(x), dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in got]
-        values = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-        counts += [np.where(m, _lookup(keys, values, hashes[n - 1]), 0) for n, m in zip(orders, masks)]
-    return hashes, counts, begin, own
-
-
-_TEXTS = ["block", "begin", "lead", "n", "tokens"]
-
-
-def _explode(blocks: DataFrame, order: int, answered: list[str], slices: int) -> DataFrame:
-    """(slice, block, entries): a block's distinct n-grams of the next round with their counts, by slice of the hash space."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = rounds_of(order)[len(answered)]
-        for batch in batches:
-            for row in _rows(batch):
-                hashes, counts, _, own = _known(row, order, [row[a] or [] for a in answered])
-                masks = _asked(hashes, counts, orders)
-                h, c = np.unique(np.concatenate([hashes[n - 1][m & own] for n, m in zip(orders, masks)]), return_counts=True)
-                # A context's n-grams are counted with the text's earlier part; here their counts are only asked for.
-                more = np.setdiff1d(np.concatenate([hashes[n - 1][m & ~own] for n, m in zip(orders, masks)]), h)
-                at = np.searchsorted(h, more)
-                h, c = np.insert(h, at, more), np.insert(c, at, 0)
-                of = _slice_of(h, slices)
-                edges = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(h) else []
-                for a, b in zip(edges, [*edges[1:], len(h)]):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int32()), pa.array([row["block"]], pa.string()), pa.array([_pack_sorted(h[a:b], c[a:b])], pa.binary())], names=["slice", "block", "entries"])
-
-    return blocks.select(*_TEXTS, *answered).mapInArrow(run, "slice int, block string, entries binary")
-
-
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """The rows of a batch one at a time: each holds a whole block."""
-    for i in range(batch.num_rows):
-        yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-
-
-def _slice_of(h: np.ndarray, slices: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
-
-
-def _join_counts(entries: DataFrame) -> DataFrame:
-    """(block, slice, counts): the corpus counts of each block's n-grams of a slice, in the order of their hashes."""
+                uid += 1
+            if parts:
+                yield rows(uids, at, lead, parts, ids)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut after about BLOCK_TOKENS words: column 1 is lead, 2 the words."""
+    for batch in batches:
+        ends = batch.column(2).offsets.to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_TOKENS, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+class _Block:
+    """A block's words with their rows, and the n-grams that end at each."""
+
+    def __init__(self, batch: pa.RecordBatch, order: int):
+        lists = batch.column(2)
+        sizes = np.diff(lists.offsets.to_numpy()[: batch.num_rows + 1])
+        tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        self.uid = batch.column(0).to_numpy(zero_copy_only=False)
+        lead = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.inner = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.own = self.inner >= lead[self.row]
+        self.first = lead[self.row] == 0
+        self.hashes = ngram_hashes(tokens, self.inner, order)
+
+    def asked(self, order: int, unmet: pa.ListArray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per order (a, b): whether the n-gram is tried for the word it ends at, and whether it is the context of one met.
+
+        unmet: per row the hashes of the n-grams tried before that were not met.
+        """
+        pairs = None
+        if unmet is not None:
+            n = np.diff(unmet.offsets.to_numpy()[: len(unmet) + 1])
+            flat = unmet.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            pairs = np.sort(_mix(flat ^ _mix(np.repeat(np.arange(len(n)), n).astype(np.uint64))))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        context = np.zeros(len(self.own), dtype=bool)
+        tried = self.own & (self.inner >= order - 1)
+        for n in range(order, 0, -1):
+            out.append((tried, context))
+            missed = np.zeros(len(tried), dtype=bool)
+            if pairs is not None and len(pairs):
+                key = _mix(self.hashes[n - 1] ^ _mix(self.row.astype(np.uint64)))
+                at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+                missed = tried & (pairs[at] == key)
+            met = tried & ~missed
+            context = np.zeros(len(tried), dtype=bool)
+            context[:-1] = met[1:] & (self.inner[1:] > 0)
+            tried = missed | (self.own & self.first & (self.inner == n - 2))
+        return out[::-1]
+
+
+_ENTRIES = "p int, uid array<long>, h array<long>, n array<int>, a array<int>, b array<int>, v array<double>"
+
+
+def _explode(tokens: DataFrame, orders: Sequence[int], order: int, slices: int, counts: bool, asks: bool, sure: bool, hot: dict[str, np.ndarray], base: float) -> DataFrame:
+    """_ENTRIES: the n-grams of a block, a row per slice. counts: they count; asks: their documents ask; sure: whatever is asked for is met.
+
+    hot: sorted hashes ``h`` and counts ``c`` of n-grams that are not to travel; what they add, less base for each tried, is in v.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, np.ndarray, np.ndarray]] = []
-        now = None
-
-        def joined() -> Iterator[pa.RecordBatch]:
-            # The slice of the count table, then its join with every block's entries; both sides are sorted.
-            table = np.unique(np.concatenate([h for _, h, _ in held]))
-            places = [np.searchsorted(table, h) for _, h, _ in held]
-            total = np.zeros(len(table), dtype=np.int64)
-            for at, (_, _, c) in zip(places, held):
-                total[at] += c  # a block has a key once
-            for at, (block, _, _) in zip(places, held):
-                packed = _pack(total[at].view(np.uint8).reshape(-1, 8).T.copy())
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.string()), pa.array([now], pa.int32()), pa.array([packed], pa.binary())], names=["block", "slice", "counts"])
-
-        for batch in batches:
-            for row in _rows(batch):
-                if row["slice"] != now and held:
-                    yield from joined()
-                    held = []
-                now = row["slice"]
-                held.append((row["block"], *_unpack_sorted(row["entries"])))
-        if held:
-            yield from joined()
-
-    return entries.mapInArrow(run, "block string, slice int, counts binary")
-
-
-def backoff(counts: list[np.ndarray], begin: np.ndarray, total: int, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> np.ndarray:
-    """log S of each token from the counts of the n-grams that end there (0: none)."""
-    with np.errstate(divide="ignore"):
-        score = np.log(counts[0]) - math.log(max(total, 1))
-        for n in range(2, len(counts) + 1):
-            context = np.zeros_like(counts[0])
-            context[1:] = counts[n - 2][:-1]
-            room = np.arange(len(begin)) - begin >= n - 1
-            seen = room & (counts[n - 1] >= min_count) & (context > 0)
-            longer = np.log(np.maximum(counts[n - 1], 1)) - np.log(np.maximum(context, 1))
-            score = np.where(seen, longer, np.where(room, score + math.log(alpha), score))
-    return score
-
-
-def _score(blocks: DataFrame, order: int, answered: list[str], total: int) -> DataFrame:
-    """(uid, doc_id, n_words, log_sum) of the parts of texts in each block."""
-    id_type = blocks.schema["doc_id"].dataType.elementType
-    schema = T.StructType([T.StructField("uid", T.StringType()), T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("log_sum", T.DoubleType())])
+        serial = 0
+        for batch in _blocks(batches):
+            serial += 1
+            block = _Block(batch, order)
+            needs = block.asked(order, batch.column(3) if batch.num_columns > 3 else None) if asks else None
+            h, who, n, a, b = [], [], [], [], []
+            for k in orders:
+                here = block.inner >= k - 1
+                one = (block.own & here & counts).astype(np.int32)
+                tried, context = needs[k - 1] if needs else (np.zeros(len(one), dtype=bool),) * 2
+                if sure:
+                    # What is asked for as often as it is a context adds nothing.
+                    tried, context = tried & ~context, context & ~tried
+                some = np.flatnonzero((one > 0) | tried | context)
+                ask = (tried | context)[some]
+                h.append(block.hashes[k - 1][some])
+                who.append(np.where(ask, block.row[some] + 1, 0))
+                n.append(one[some])
+                a.append(tried[some].astype(np.int32))
+                b.append(context[some].astype(np.int32))
+            h, who, n, a, b = (np.concatenate(x) for x in (h, who, n, a, b))
+            extra = None
+            if len(hot["h"]) and len(h):
+                at = np.minimum(np.searchsorted(hot["h"], h), len(hot["h"]) - 1)
+                is_hot = hot["h"][at] == h
+                extra = np.bincount(who[is_hot], weights=(a - b)[is_hot] * np.log(hot["c"][at[is_hot]]) - a[is_hot] * base, minlength=len(block.uid) + 1)
+                h, who, n, a, b = (x[~is_hot] for x in (h, who, n, a, b))
+            v = np.zeros(len(h))
+            if extra is not None and (extra[1:] != 0).any():
+                add = np.flatnonzero(extra[1:]) + 1
+                none = np.zeros(len(add), dtype=np.int32)
+                own = _mix(block.uid[add - 1].view(np.uint64) + np.uint64(serial))
+                h, who, v = np.concatenate((h, own)), np.concatenate((who, add)), np.concatenate((v, extra[add]))
+                n, a, b = (np.concatenate((x, none)) for x in (n, a, b))
+            if not len(h):
+                continue
+            p = ((h >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+            # By slice, row and hash; what the low bits leave together is told apart below.
+            key = (p * np.uint64(len(block.uid) + 1) + who.astype(np.uint64)) << np.uint64(24) | (h & np.uint64((1 << 24) - 1))
+            sort = np.argsort(key)
+            key, h, p, who, n, a, b, v = (x[sort] for x in (key, h, p, who, n, a, b, v))
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1]))))
+            n, a, b, v = (np.add.reduceat(x, first) for x in (n, a, b, v))
+            h, p, who = h[first], p[first], who[first]
+            edges = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+            ends = pa.array(np.concatenate((edges, [len(p)])).astype(np.int32))
+            uid = np.concatenate(([_NOBODY], block.uid))[who]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (uid, h.view(np.int64), n.astype(np.int32), a.astype(np.int32), b.astype(np.int32), v)]
+            yield pa.RecordBatch.from_arrays([pa.array(p[edges].astype(np.int32)), *lists], names=["p", "uid", "h", "n", "a", "b", "v"])
+
+    return tokens.select("uid", "lead", "tokens", *[c for c in tokens.columns if c == "unmet"]).mapInArrow(run, _ENTRIES)
+
+
+def _counted(entries: DataFrame, slices: int) -> DataFrame:
+    """(uid, h, n, a, b, v, c): the exploded rows with the corpus count of their n-gram; rows of _NOBODY have counted and are gone."""
+    packed = entries.repartitionById(slices, F.col("p"))
+    rows = packed.select("p", "uid", "n", "a", "b", "v", F.posexplode("h").alias("i", "h"))
+    rows = rows.select("p", "h", *[F.get(F.col(c), F.col("i")).alias(c) for c in ("uid", "n", "a", "b", "v")])
+    return rows.selectExpr("*", "sum(n) OVER (PARTITION BY h, p) AS c").filter(F.col("uid") != _NOBODY)
+
+
+def _frequent(tokens: DataFrame, orders: Sequence[int], order: int, sample: int) -> np.ndarray:
+    """Hashes of n-grams in more than one of HOT_SHARE sampled documents, at most HOT_LIMIT."""
+    some = tokens.filter(F.pmod(F.xxhash64("uid"), F.lit(sample)) == 0)
+    docs = some.select("uid").distinct().count()
+    if docs < HOT_SHARE:
+        return np.zeros(0, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+        for batch in _blocks(batches):
+            block = _Block(batch, order)
+            every = [np.unique(np.stack((block.row[block.inner >= k - 1].astype(np.uint64), block.hashes[k - 1][block.inner >= k - 1])), axis=1)[1] for k in orders]
+            h, n = np.unique(np.concatenate(every), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-        arrow = to_arrow_schema(schema)
-        for batch in batches:
-            for row in _rows(batch):
-                _, counts, begin, own = _known(row, order, [row[a] or [] for a in answered])
-                s = backoff(counts, begin, total)
-                sums = np.concatenate(([0.0], np.cumsum(np.where(own, s, 0.0))))
-                b, n, lead = (np.array(row[k], dtype=np.int64) for k in ("begin", "n", "lead"))
-                yield pa.RecordBatch.from_arrays([pa.array(row["uid"], arrow[0].type), pa.array(row["doc_id"], arrow[1].type), pa.array(n - lead), pa.array(sums[b + n] - sums[b])], schema=arrow)
+    met = some.select("uid", "lead", "tokens").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = met.filter(F.col("n") * HOT_SHARE > docs).orderBy(F.desc("n"), "h").limit(HOT_LIMIT).select("h").collect()
+    return np.sort(np.array([r.h for r in found], dtype=np.int64).view(np.uint64))
 
-    return blocks.select(*_TEXTS, "uid", "doc_id", *answered).mapInArrow(run, schema)
 
+def _frequent_counts(tokens: DataFrame, orders: Sequence[int], order: int, frequent: np.ndarray, min_count: int) -> dict[str, np.ndarray]:
+    """``h`` and ``c`` of those of the frequent n-grams that occur min_count times; a partial count per block, at most HOT_LIMIT rows in all."""
 
-def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, n_words, log_sum and log_mean (per word) of every row of docs (doc_id, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches):
+            block = _Block(batch, order)
+            h = np.concatenate([block.hashes[k - 1][block.own & (block.inner >= k - 1)] for k in orders])
+            at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+            n = np.bincount(at[frequent[at] == h], minlength=len(frequent))
+            met = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(frequent[met].view(np.int64)), pa.array(n[met].astype(np.int64))], names=["h", "n"])
+
+    if not len(frequent):
+        return {"h": frequent, "c": np.zeros(0)}
+    counts = tokens.select("uid", "lead", "tokens").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count).collect()
+    h = np.array([r.h for r in counts], dtype=np.int64).view(np.uint64)
+    sort = np.argsort(h)
+    return {"h": h[sort], "c": np.array([r.n for r in counts], dtype=float)[sort]}
+
+
+def score(docs: DataFrame, order: int = ORDER, corpus: DataFrame | None = None, alpha: float = ALPHA, min_count: int | None = None, hot_sample: int | None = None) -> DataFrame:
+    """doc_id, n_words, log_sum, log_mean (per word) and n_once of every row of docs (doc_id, text).
+
+    corpus (doc_id, text) has the counts, docs itself by default. n_once counts
+    the words whose n-gram of full order the corpus has at most once.
+    """
+    min_count = MIN_COUNT if min_count is None else min_count
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    name = f"lm_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Bucketed by block, so that a round's answers come to the blocks and the blocks stay where they are.
-    _blocks(docs.select("doc_id", "text"), order).write.format("parquet").option("compression", "uncompressed").bucketBy(buckets, "block").saveAsTable(name)
-    blocks = spark.table(name)
-    own = F.aggregate(F.zip_with("n", "lead", lambda a, b: a - b), F.lit(0).cast("long"), lambda a, x: a + x)
-    total = int(blocks.agg(F.sum(own)).first()[0] or 0)
-    slices = max(1, -(-total * order // SLICE_ENTRIES))
-    answered: list[str] = []
-    for k, _ in enumerate(rounds_of(order)):
-        entries = _explode(blocks, order, answered, slices).repartition("slice").sortWithinPartitions("slice", "block")
-        counts = scratch.write(_join_counts(entries), f"counts{k}")
-        # One list of a block's slices, about as many bytes as it has n-grams.
-        answer = counts.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("slice", "counts"))), lambda x: x["counts"]).alias(f"answer{k}"))
-        blocks = blocks.join(answer, "block", "left")
-        answered.append(f"answer{k}")
-    parts = scratch.write(_score(blocks, order, answered, total), "parts")
-    spark.sql(f"DROP TABLE {name}")
-    scratch.drop(*[f"counts{k}" for k in range(len(answered))])
-    sums = parts.groupBy("uid", "doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_sum").alias("log_sum"))
-    return sums.select("doc_id", "n_words", "log_sum", F.when(F.col("n_words") > 0, F.col("log_sum") / F.col("n_words")).alias("log_mean"))
+    tokens = scratch.write(_tokens(docs, order), "tokens", dictionary_mb=16)
+    counted = tokens if corpus is None else scratch.write(_tokens(corpus.select("doc_id", "text"), order), "corpus", dictionary_mb=16)
+    size = F.size("tokens") - F.col("lead")
+    total = int(counted.agg(F.sum(size)).first()[0] or 0)
+    asked = total if corpus is None else total + int(tokens.agg(F.sum(size)).first()[0] or 0)
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked // SLICE_ENTRIES))
+    sure = corpus is None and min_count <= 1
+    # Every order at once would be fine too where all is met; apart, the shuffles are not there at one time.
+    rounds = [r for r in ([order], list(range(order - 1, 0, -1))) if r] if sure else [[n] for n in range(order, 0, -1)]
+    state = tokens
+    sums: list[DataFrame] = []
+    for orders in rounds:
+        frequent = _frequent(counted, orders, order, hot_sample or HOT_SAMPLE)
+        hot = _frequent_counts(counted, orders, order, frequent, max(min_count, 2))
+        base = math.log(max(total, 1)) if orders == [1] else 0.0
+        entries = _explode(state, orders, order, slices, corpus is None, True, sure, hot, base)
+        if corpus is not None:
+            entries = entries.unionAll(_explode(counted, orders, order, slices, True, False, False, hot, base))
+        rows = _counted(entries, slices)
+        if orders == [1]:
+            # The last resort of a word; one that the corpus lacks counts as ALPHA times.
+            own = F.col("a") * (F.log(F.greatest(F.col("c").cast("double"), F.lit(alpha))) - base)
+            missed = F.lit(False)
+        else:
+            missed = F.lit(False) if sure else (F.col("a") > 0) & (F.col("c") < min_count)
+            own = F.col("a") * F.when(missed, math.log(alpha)).otherwise(F.log(F.greatest(F.col("c"), F.lit(1))))
+        adds = own - F.col("b") * F.log(F.greatest(F.col("c"), F.lit(1))) + F.col("v")
+        once = F.when((F.col("c") <= 1), F.col("a")).otherwise(0) if orders[0] == order else F.lit(0)
+        found = [F.sum(adds).alias("log_sum"), F.sum(once).cast("long").alias("n_once")]
+        if not sure:
+            found.append(F.collect_list(F.when(missed, F.col("h"))).alias("unmet"))
+        name = f"sums{orders[0]}"
+        sums.append(scratch.write(rows.groupBy("uid").agg(*found), name))
+        if not sure and orders != [1]:
+            unmet = sums[0].select("uid", "unmet")
+            for more in sums[1:]:
+                unmet = unmet.unionAll(more.select("uid", "unmet"))
+            unmet = unmet.filter(F.size("unmet") > 0).groupBy("uid").agg(F.flatten(F.collect_list("unmet")).alias("unmet"))
+            state = tokens.join(unmet, "uid", "left").withColumn("unmet", F.coalesce("unmet", F.array().cast("array<long>")))
+    # Where nothing backs off, only a text's first word has the corpus size below it.
+    start = F.when((F.size("tokens") > 0) & (F.col("lead") == 0), -math.log(max(total, 1))).otherwise(0.0) if sure and order > 1 else F.lit(0.0)
+    texts = tokens.select("uid", "doc_id", size.cast("long").alias("n_words"), start.alias("log_sum"), F.lit(0).cast("long").alias("n_once"))
+    for s in sums:
+        texts = texts.unionAll(s.select("uid", F.lit(None).cast(texts.schema["doc_id"].dataType), F.lit(0).cast("long"), "log_sum", "n_once"))
+    out = texts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("log_sum").alias("log_sum"), F.sum("n_once").alias("n_once"))
+    return out.select("doc_id", "n_words", "log_sum", F.when(F.col("n_words") > 0, F.col("log_sum") / F.col("n_words")).alias("log_mean"), "n_once")
 
 
 def query(docs: DataFrame) -> DataFrame:
     out = score(docs)
-    return out.select("doc_id", "n_words", F.round("log_sum", 6).alias("log_sum"), F.round("log_mean", 9).alias("log_mean"))
+    return out.select("doc_id", "n_words", F.round("log_sum", 6).alias("log_sum"), F.round("log_mean", 9).alias("log_mean"), "n_once")

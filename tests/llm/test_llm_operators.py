@@ -122,7 +122,7 @@ def test_quality_policies_and_ablation(docs, empty):
 
 
 def test_quality_filter_keeps_clashing_columns(docs):
-    clash = docs.withColumn("n_words", F.lit("mine")).withColumn("failed", F.lit(1.5))
+    clash = docs.withColumn("n_words", F.lit("mine")).withColumn("failed", F.lit(1.5)).withColumn("__pad", F.lit(2)).withColumn("row", F.lit(3)).withColumn("pad", F.create_map(F.lit("k"), F.lit("v")))
     out = quality.filter_documents(clash)
     assert out.columns == clash.columns and {r.n_words for r in out.collect()} == {"mine"}
 
@@ -471,6 +471,37 @@ def test_stupid_backoff(docs, empty, monkeypatch, block, entries):
     assert lm_score.query(empty).count() == 0
 
 
+def brute_backoff(rows, corpus, min_count, order=3):
+    import math
+
+    w = [(t or "").encode().lower().split() for _, t in rows]
+    c = Counter(tuple(x[i : i + n]) for _, t in corpus for x in [(t or "").encode().lower().split()] for n in range(1, order + 1) for i in range(len(x) - n + 1))
+    total = sum(n for g, n in c.items() if len(g) == 1)
+
+    def s(x, i, n):
+        g = tuple(x[i - n + 1 : i + 1])
+        if n == 1:
+            return max(c[g], lm_score.ALPHA) / max(total, 1)
+        return c[g] / c[g[:-1]] if c[g] >= min_count else lm_score.ALPHA * s(x, i, n - 1)
+
+    once = [sum(c[tuple(x[i : i + order])] <= 1 for i in range(len(x) - order + 1)) for x in w]
+    return sorted((repr(i), len(x), n, sum(math.log(s(x, k, min(order, k + 1))) for k in range(len(x)))) for (i, _), x, n in zip(rows, w, once))
+
+
+@pytest.mark.parametrize(("block", "min_count", "order", "other", "hot"), [(1_000_000, 1, 3, False, False), (30, 2, 3, False, False), (30, 1, 3, True, False), (1_000_000, 2, 4, True, True), (1_000_000, 1, 3, False, True), (50, 3, 2, False, True), (50, 1, 1, False, False), (50, 1, 1, True, True)])
+def test_backoff_against_other_corpora(spark, docs, monkeypatch, block, min_count, order, other, hot):
+    """Thresholds, orders and a corpus of its own; also with frequent n-grams counted apart."""
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(lm_score, "HOT_SHARE", 8 if hot else 10**9)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    corpus = docs.filter("doc_id % 3 = 1") if other else None
+    counted = [(r.doc_id, r.text) for r in corpus.collect()] if other else rows
+    out = lm_score.score(docs.withColumn("uid", F.lit("mine")).withColumn("c", F.lit(1)), order, corpus, min_count=min_count, hot_sample=1).collect()
+    got = sorted((repr(r.doc_id), r.n_words, r.n_once, r.log_sum) for r in out)
+    expected = brute_backoff(rows, counted, min_count, order)
+    assert [g[:3] for g in got] == [e[:3] for e in expected] and [g[3] for g in got] == pytest.approx([e[3] for e in expected], abs=1e-6)
+
+
 # 10 ----------------------------------------------------------------------
 
 
