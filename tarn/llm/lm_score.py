@@ -42,7 +42,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import Scratch
@@ -51,7 +51,7 @@ ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 1
 BLOCK_TOKENS = 300_000
-SLICE_ENTRIES = 2_000_000
+SLICE_ENTRIES = 3_000_000
 HOT_SHARE = 256
 HOT_LIMIT = 1 << 16
 #: One document in so many is looked at for frequent n-grams.
@@ -299,13 +299,18 @@ def _counted(entries: DataFrame, slices: int) -> DataFrame:
     return rows.filter(F.col("uid") != _NOBODY)
 
 
-def _frequent(texts: DataFrame, orders: Sequence[int], order: int, sample: int) -> np.ndarray:
-    """Hashes of n-grams in more than one of HOT_SHARE sampled documents, at most HOT_LIMIT."""
-    some = texts.filter(F.pmod("uid", F.lit(sample)) == 0)
+def _sampled(sample: int) -> Column:
+    return F.pmod("uid", F.lit(sample)) == 0
+
+
+def _frequent(texts: DataFrame, orders: Sequence[int], order: int, sample: int, docs: int) -> np.ndarray:
+    """Hashes of n-grams in more than one of HOT_SHARE of the sampled documents, of which there are docs; at most HOT_LIMIT."""
+    if docs < HOT_SHARE:
+        return np.zeros(0, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, order):
-            found = [np.array([0], dtype=np.uint64)] * int(block.begins.sum())
+            found = []
             for k in orders:
                 held = block.inner >= k - 1
                 pair = np.unique(np.stack((block.row[held].astype(np.uint64), block.hashes[k - 1][held])), axis=1)
@@ -313,13 +318,9 @@ def _frequent(texts: DataFrame, orders: Sequence[int], order: int, sample: int)
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    # Hash 0 counts the documents.
-    met = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = met.orderBy(F.col("h") != 0, F.desc("n"), "h").limit(HOT_LIMIT + 1).collect()
-    docs = next((r.n for r in top if r.h == 0), 0)
-    if docs < HOT_SHARE:
-        return np.zeros(0, dtype=np.uint64)
-    return np.sort(np.array([r.h for r in top if r.h and r.n * HOT_SHARE > docs], dtype=np.int64).view(np.uint64))
+    met = texts.filter(_sampled(sample)).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = met.filter(F.col("n") * HOT_SHARE > docs).orderBy(F.desc("n"), "h").limit(HOT_LIMIT).collect()
+    return np.sort(np.array([r.h for r in top], dtype=np.int64).view(np.uint64))
 
 
 def _frequent_counts(texts: DataFrame, orders: Sequence[int], order: int, frequent: np.ndarray, min_count: int) -> dict[str, np.ndarray]:
@@ -353,8 +354,9 @@ def score(docs: DataFrame, order: int = ORDER, corpus: DataFrame | None = None,
     key = F.xxhash64("doc_id", "text").alias("uid")
     texts = docs.select(key, "text")
     counted = texts if corpus is None else corpus.select(key, "text")
-    size = F.sum(F.octet_length("text"))
-    asked = sum(int(x.agg(size).first()[0] or 0) for x in ([texts] if corpus is None else [texts, counted])) // _WORD_BYTES
+    sample = hot_sample or HOT_SAMPLE
+    sizes = [x.agg(F.sum(F.octet_length("text")), F.count_if(_sampled(sample))).first() for x in ([texts] if corpus is None else [texts, counted])]
+    asked = sum(int(n or 0) for n, _ in sizes) // _WORD_BYTES
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked // SLICE_ENTRIES))
     sure = corpus is None and min_count <= 1
     # Every order at once would be right too where all is met; apart, the shuffles are not there at one time.
@@ -362,7 +364,7 @@ def score(docs: DataFrame, order: int = ORDER, corpus: DataFrame | None = None,
     state = texts
     sums: list[DataFrame] = []
     orders = list(range(1, order + 1))
-    hot = _frequent_counts(counted, orders, order, _frequent(counted, orders, order, hot_sample or HOT_SAMPLE), max(min_count, 2))
+    hot = _frequent_counts(counted, orders, order, _frequent(counted, orders, order, sample, sizes[-1][1]), max(min_count, 2))
     for orders in rounds:
         entries = _explode(state, orders, order, slices, corpus is None, True, sure, hot)
         if corpus is not None:
