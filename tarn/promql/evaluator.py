@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -186,6 +186,12 @@ class Evaluator:
 
     def _over_time(self, node, agg: Callable[[int], Column], neighbours: bool = False) -> Vector:
         """Aggregate the samples of every window; with ``neighbours`` each sample has its predecessor as pt, pv."""
+        if isinstance(node, P.Selector) and node.at_ms is not None:
+            # One window at a fixed time, whose result holds at every evaluation time.
+            fixed = Evaluator(self.spark, self.metrics, node.at_ms, node.at_ms, 1, self.time, self.value, self.lookback // 1000, self.hidden)
+            once = fixed._over_time(replace(node, at_ms=None), agg, neighbours)
+            times = F.explode(F.sequence(F.lit(self.start), F.lit(self.end), F.lit(self.step)))
+            return Vector(once.df.withColumn("ts", times), once.labels)
         samples, span, offset = self._range(node)
         df = samples.df
         if neighbours:
