@@ -41,7 +41,7 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "match_field_ignore_case": ("f STRING, v STRING", "BOOLEAN", "contains(lower(f), lower(v))"),
     "text_tokens": ("f STRING", "ARRAY<STRING>", _TOKENS),
     # The needle is taken as it is.
-    "fuzzy_match": ("f STRING, v STRING, d INT", "BOOLEAN", f"exists({_TOKENS}, t -> levenshtein(t, v) <= d)"),
+    "fuzzy_match": ("f STRING, v STRING, d INT", "BOOLEAN", f"exists({_TOKENS}, t -> abs(char_length(t) - char_length(v)) <= d AND levenshtein(t, v, d) >= 0)"),
     "re_match": ("f STRING, p STRING", "BOOLEAN", "f RLIKE p"),
     "re_not_match": ("f STRING, p STRING", "BOOLEAN", "NOT (f RLIKE p)"),
     # JSON arrays
@@ -79,7 +79,7 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     ),
     "text_us": (
         "x STRING", "BIGINT",
-        "CASE WHEN x RLIKE '^-?[0-9]+$' THEN time_us(CAST(x AS BIGINT)) ELSE unix_micros(coalesce(try_to_timestamp(x), try_to_timestamp(x, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\"), try_to_timestamp(regexp_replace(x, '^[A-Za-z]{3}, *', ''), 'd MMM yyyy HH:mm:ss Z'))) END",
+        "CASE WHEN x RLIKE '^-?[0-9]+$' THEN time_us(try_cast(x AS BIGINT)) ELSE unix_micros(coalesce(try_to_timestamp(x), try_to_timestamp(x, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\"), try_to_timestamp(regexp_replace(x, '^[A-Za-z]{3}, *', ''), 'd MMM yyyy HH:mm:ss Z'))) END",
     ),
     "cast_to_timestamp": ("x STRING", "BIGINT", "text_us(x)"),
     # Half-open; a negative bound is open, an unreadable one gives null.
@@ -111,6 +111,10 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "array_has_all": ("a ARRAY<STRING>, b ARRAY<STRING>", "BOOLEAN", "size(array_except(b, a)) = 0"),
     "array_has_any": ("a ARRAY<STRING>, b ARRAY<STRING>", "BOOLEAN", "size(array_intersect(a, b)) > 0"),
     "array_to_string": ("a ARRAY<STRING>, d STRING", "STRING", "array_join(a, d)"),
+    # A text that is not sealed, or with another key, gives null; a path names a key of a JSON object, which is opened in place.
+    "encrypt": ("s STRING, k STRING", "STRING", "base64(aes_encrypt(s, unhex(left(sha2(k, 256), 32))))"),
+    "decrypt": ("s STRING, k STRING", "STRING", "CAST(try_aes_decrypt(CASE WHEN s RLIKE '^[A-Za-z0-9+/]{38,}={0,2}$' AND char_length(s) % 4 = 0 THEN unbase64(s) END, unhex(left(sha2(k, 256), 32))) AS STRING)"),
+    "decrypt_path": ("j STRING, p STRING, k STRING", "STRING", "decrypt(get_json_object(j, concat('$.', p)), k)"),
     "sha256": ("s STRING", "STRING", "sha2(s, 256)"),
     "sha512": ("s STRING", "STRING", "sha2(s, 512)"),
 }

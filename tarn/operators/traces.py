@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SERVER_KINDS = ("2", "SPAN_KIND_SERVER", "Server", "server")
@@ -32,7 +34,7 @@ def trace_index(spans: DataFrame, stream: str) -> DataFrame:
     return spans.groupBy("service_name", "trace_id").agg(F.min("start_time").alias("_timestamp")).select("_timestamp", F.lit(stream).alias("stream_name"), "service_name", "trace_id")
 
 
-def service_edges(spans: DataFrame, exact: bool = False) -> DataFrame:
+def service_edges(spans: DataFrame, exact: bool = False, bucket: Column | None = None) -> DataFrame:
     """Calls between services: client (null for entry points) and server with counts, errors and latency percentiles.
 
     A call is a span whose parent is of another service, or a span without a
@@ -47,12 +49,44 @@ def service_edges(spans: DataFrame, exact: bool = False) -> DataFrame:
         return F.percentile(duration, F.lit(p)) if exact else F.percentile_approx(duration, F.lit(p), F.lit(10_000))
 
     errors = F.sum(F.when(F.col("span_status") == "ERROR", 1).otherwise(0))
-    out = calls.groupBy("client", F.col("service_name").alias("server")).agg(
+    keys = ["client", F.col("service_name").alias("server"), *([bucket.cast("long").alias("bucket_start")] if bucket is not None else [])]
+    out = calls.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_requests"), errors.alias("failed_requests"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99")
     )
     return out.withColumn("error_rate", F.col("failed_requests") * 100.0 / F.col("total_requests"))
 
 
+def call_totals(calls: DataFrame) -> DataFrame:
+    """Mergeable totals of calls (spans with their client): requests, errors, and the sum and largest of their durations."""
+    duration = (F.col("end_time") - F.col("start_time")).cast("double")
+    errors = F.sum(F.when(F.col("span_status") == "ERROR", 1).otherwise(0))
+    return calls.groupBy("client", F.col("service_name").alias("server")).agg(F.count(F.lit(1)).alias("total_requests"), errors.alias("failed_requests"), F.sum(duration).alias("duration"), F.max(duration).alias("longest"))
+
+
+def edge_totals(totals: DataFrame) -> DataFrame:
+    """The totals of several batches as one row per edge."""
+    return totals.groupBy("client", "server").agg(*[F.sum(c).alias(c) for c in ("total_requests", "failed_requests", "duration")], F.max("longest").alias("longest"))
+
+
+def edge_history(spans: DataFrame, every_us: int, time_column: str = "start_time", exact: bool = False) -> DataFrame:
+    """service_edges per bucket of time (bucket_start), so that an edge's requests, errors and latencies can be followed."""
+    return service_edges(spans, exact, F.floor(F.col(time_column) / every_us) * every_us)
+
+
+def duration_percentiles(spans: DataFrame, by: Sequence[str], points: Sequence[float] = (0.5, 0.75, 0.9, 0.95, 0.99), exact: bool = False) -> DataFrame:
+    """Percentiles of the spans' durations by the given columns, with their number."""
+    duration = (F.col("end_time") - F.col("start_time")).cast("double")
+    at = [(F.percentile(duration, F.lit(p)) if exact else F.percentile_approx(duration, F.lit(p), F.lit(10_000))).alias(f"p{round(p * 100)}") for p in points]
+    return spans.groupBy(*by).agg(F.count(F.lit(1)).alias("spans"), *at)
+
+
+def trace_list_by_user(spans: DataFrame, user_column: str, user: str | None = None) -> DataFrame:
+    """Traces with the user that a span of theirs names (the least if several), those of one user if given."""
+    own = spans.groupBy("trace_id").agg(F.min(user_column).alias("user"))
+    own = own.filter(F.col("user").isNotNull() if user is None else F.col("user") == user)
+    return trace_list(spans).join(own, "trace_id")
+
+
 def service_nodes(edges: DataFrame) -> DataFrame:
     """Services of the edges with the requests they receive and make."""
     received = edges.select(F.col("server").alias("service"), F.col("total_requests").alias("received"), F.lit(0).cast("long").alias("made"), "failed_requests")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.catalog import Catalog, Stream
@@ -43,7 +43,7 @@ class Engine:
     # Planning
 
     def rewrite(self, request: Request) -> tuple[str, list[Stream]]:
-        sql = sqltext.drop_placeholders(sqltext.expand_custom(request.sql))
+        sql = sqltext.qualify(sqltext.drop_placeholders(sqltext.expand_custom(request.sql)))
         streams = self._streams(sql, request.kind)
         if request.track_total_hits:
             sql = sqltext.total_hits(sql)
@@ -185,21 +185,19 @@ class Engine:
 
     def around(self, stream: Stream, at_us: int, size: int) -> DataFrame:
         """The size/2 rows at and before a time and the size/2 after it, newest first: two top-k plans."""
-        us = stream.time_us()
         half = max(1, size // 2)
-        older = stream.frame.filter(us <= at_us).orderBy(F.col(stream.time_column).desc()).limit(half)
-        newer = stream.frame.filter(us > at_us).orderBy(F.col(stream.time_column).asc()).limit(half)
+        older = stream.between(None, at_us + 1).orderBy(F.col(stream.time_column).desc()).limit(half)
+        newer = stream.between(at_us + 1, None).orderBy(F.col(stream.time_column).asc()).limit(half)
         return older.unionByName(newer).orderBy(F.col(stream.time_column).desc())
 
     def field_values(self, stream: Stream, fields: list[str], size: int = 10, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
         """The most frequent values of each field (field, value, num)."""
         rows = stream.between(start_us, end_us)
-        out = None
-        for f in fields:
-            one = rows.groupBy(F.col(f).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("num")).orderBy(F.desc("num"), F.asc_nulls_last("value")).limit(size)
-            one = one.select(F.lit(f).alias("field"), "value", "num")
-            out = one if out is None else out.unionByName(one)
-        return out
+        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("p")
+        counted = rows.select(pairs).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("num"))
+        # The rank's limit holds before the shuffle too, so a field of very many values sends a few of them.
+        order = Window.partitionBy("field").orderBy(F.desc("num"), F.asc_nulls_last("value"))
+        return counted.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= size).drop("__rank")
 
     def cardinality(self, stream: Stream, fields: list[str], exact: bool = False) -> DataFrame:
         """Distinct values per field, in one aggregation."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 from tarn.functions import registry
@@ -25,3 +28,14 @@ def build(master: str | None = None, **settings: str) -> SparkSession:
     spark = builder.getOrCreate()
     registry.register(spark)
     return spark
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary one only where driver and executors are one process."""
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not conf.get("spark.master", "").startswith("local") or conf.get("spark.master", "").startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")

@@ -62,6 +62,44 @@ def from_json_text(spark: SparkSession, rows: Sequence[dict], max_level: int = 0
     return with_timestamp(flatten(spark.read.json(lines), max_level))
 
 
+def multi_line(spark: SparkSession, path: str, schema: T.StructType | None = None, max_level: int = 0) -> DataFrame:
+    """Files that each hold one record or an array of records over several lines."""
+    reader = (spark.read.schema(schema) if schema else spark.read).option("multiLine", "true")
+    return with_timestamp(flatten(reader.json(path), max_level))
+
+
+def pubsub(pushes: DataFrame, column: str = "value") -> DataFrame:
+    """Push messages of a cloud topic: the decoded data as log, with the message's id, time and attributes."""
+    schema = "message STRUCT<data: STRING, messageId: STRING, publishTime: STRING, attributes: MAP<STRING,STRING>>, subscription STRING"
+    m = pushes.select(F.from_json(column, schema).alias("m")).filter("m.message.data IS NOT NULL").select("m.message.*", "m.subscription")
+    us = F.coalesce(F.expr("text_us(publishTime)"), F.unix_micros(F.current_timestamp()))
+    return m.select(us.alias("_timestamp"), F.unbase64("data").cast("string").alias("log"), F.col("messageId").alias("message_id"), "subscription", "attributes")
+
+
+def firehose(requests: DataFrame, column: str = "value") -> DataFrame:
+    """Delivery requests: a row per record, and per log event where a record holds a batch of them."""
+    schema = "requestId STRING, timestamp BIGINT, records ARRAY<STRUCT<data: STRING>>"
+    r = requests.select(F.from_json(column, schema).alias("r")).select("r.requestId", "r.timestamp", F.explode("r.records.data").alias("data"))
+    text = F.unbase64("data").cast("string")
+    batch = F.from_json(text, "logGroup STRING, logStream STRING, logEvents ARRAY<STRUCT<id: STRING, timestamp: BIGINT, message: STRING>>")
+    rows = r.select("requestId", "timestamp", text.alias("text"), batch.alias("b")).withColumn("e", F.explode_outer("b.logEvents"))
+    at = F.expr("time_us(coalesce(e.timestamp, timestamp))")
+    return rows.select(at.alias("_timestamp"), F.coalesce("e.message", "text").alias("log"), F.col("requestId").alias("request_id"), F.col("b.logGroup").alias("log_group"), F.col("b.logStream").alias("log_stream"))
+
+
+def rum(events: DataFrame, tags: dict[str, str] | None = None, column: str = "value", schema: str = "type STRING, date BIGINT, application STRUCT<id: STRING>, session STRUCT<id: STRING>, view STRUCT<id: STRING, url: STRING>, service STRING") -> DataFrame:
+    """Browser events, one JSON object per row, flattened; the request's tags become columns."""
+    e = flatten(events.select(F.from_json(column, schema).alias("e")).filter("e.type IS NOT NULL").select("e.*"))
+    out = e.withColumn("_timestamp", F.expr("time_us(date)")).drop("date")
+    return out.withColumns({key_name(k): F.lit(v) for k, v in (tags or {}).items()})
+
+
+def with_record_id(df: DataFrame, name: str = "_record_id", time_column: str = "_timestamp") -> DataFrame:
+    """An id of each record that sorts by time: its microseconds, then a hash of its columns; equal records share one."""
+    rest = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns])
+    return df.withColumn(name, F.concat(F.lpad(F.hex(F.col(time_column)), 16, "0"), F.lpad(F.hex(rest), 16, "0")))
+
+
 def hec(lines: DataFrame, column: str = "value") -> DataFrame:
     """HTTP event collector lines: event as text or JSON, time in seconds, and its metadata fields."""
     schema = "time DOUBLE, host STRING, source STRING, sourcetype STRING, index STRING, event STRING, fields MAP<STRING,STRING>"
@@ -123,11 +161,16 @@ def severity_text(number: Column) -> Column:
 
 
 def metrics(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
-    """Metric samples: __name__, labels, value and a time; the series hash is that of its labels."""
+    """metric_samples of a request body, in which a sample without a name or value is an error."""
     for r in rows:
         if not r.get("__name__") or "value" not in r:
             raise ValueError("a metric sample needs __name__ and value")
-    df = from_json_text(spark, rows)
+    return metric_samples(from_json_text(spark, rows))
+
+
+def metric_samples(df: DataFrame) -> DataFrame:
+    """Metric samples of a table with __name__, labels, value and a time, those without name or value left out; the series hash is that of the labels."""
+    df = with_timestamp(df).filter("coalesce(__name__, '') <> '' AND value IS NOT NULL")
     own = {"__name__", "__type__", "value", "_timestamp"}
     labels = sorted(c for c in df.columns if c not in own)
     series = F.sha2(F.to_json(F.struct("__name__", *labels)), 256).substr(1, 16)
@@ -150,6 +193,13 @@ def read_stream(spark: SparkSession, root: str, org: str, kind: str, stream: str
     return spark.read.option("mergeSchema", "true").parquet(f"{root}/files/{org}/{kind}/{stream}")
 
 
+def import_json(spark: SparkSession, path: str, schema: T.StructType, root: str, org: str, kind: str, stream: str) -> int:
+    """Exported rows back into a stream; returns how many."""
+    rows = with_timestamp(spark.read.schema(schema).json(path))
+    write_stream(rows, root, org, kind, stream)
+    return rows.count()
+
+
 def export_json(df: DataFrame, path: str) -> None:
     """Rows as JSON lines, nulls left out."""
     df.write.mode("overwrite").json(path)

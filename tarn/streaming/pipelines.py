@@ -127,21 +127,46 @@ def grouped_alerts(stream: DataFrame, time: str, key: str, wait: str, size: int,
 
 def join_streams(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, within: str) -> DataFrame:
     """Inner join of two streams whose times lie within a distance of each other; state is dropped by watermark."""
-    a = left.withWatermark(left_time, within)
-    b = right.withWatermark(right_time, within).withColumnsRenamed({k: f"__{k}" for k in keys})
-    on = F.expr(f"{right_time} BETWEEN {left_time} - INTERVAL {within} AND {left_time} + INTERVAL {within}")
+    a = left.withWatermark(left_time, within).alias("a")
+    renamed = {c: f"__{c}" for c in right.columns}
+    b = right.withWatermark(right_time, within).withColumnsRenamed(renamed).alias("b")
+    t, u = f"a.`{left_time}`", f"b.`__{right_time}`"
+    on = F.expr(f"{u} BETWEEN {t} - INTERVAL {within} AND {t} + INTERVAL {within}")
     for k in keys:
-        on = on & (a[k] == b[f"__{k}"])
-    return a.join(b, on).drop(*[f"__{k}" for k in keys])
+        on = on & (F.col(f"a.`{k}`") == F.col(f"b.`__{k}`"))
+    joined = a.join(b, on).drop(*[f"__{k}" for k in keys])
+    # Right columns get their names back unless the left side has them.
+    return joined.withColumnsRenamed({f"__{c}": c if c not in left.columns else f"right_{c}" for c in right.columns if c not in keys})
 
 
-def service_graph_batches(stream: DataFrame, path: str, checkpoint: str):
-    """Service edges of each micro-batch of spans, under the batch's own folder."""
+def service_calls(spans: DataFrame, time: str, within: str) -> DataFrame:
+    """Calls of a stream of spans with their client: a parent may come in another batch, up to ``within`` before or after.
+
+    A span whose parent has not come by then, or that has none, is an entry
+    point (client null). Append mode; service_edges sums what this writes.
+    """
+    a = spans.withWatermark(time, within).alias("a")
+    names = {"trace_id": "__trace", "span_id": "__span", "service_name": "client", time: "__time"}
+    b = spans.select(*names).withColumnsRenamed(names).withWatermark("__time", within).alias("b")
+    near = F.expr(f"b.__time BETWEEN a.`{time}` - INTERVAL {within} AND a.`{time}` + INTERVAL {within}")
+    on = (F.col("a.trace_id") == F.col("b.__trace")) & (F.col("a.reference_parent_span_id") == F.col("b.__span")) & near
+    calls = a.join(b, on, "left").drop("__trace", "__span", "__time")
+    return calls.filter(F.col("client").isNull() | (F.col("client") != F.col("service_name")))
+
+
+def service_graph_batches(stream: DataFrame, path: str, checkpoint: str, time: str = "ts", within: str = "10 minutes"):
+    """Service calls as they settle, under the batch's own folder; traces.edge_totals sums them."""
 
     def write(batch: DataFrame, number: int) -> None:
-        traces.service_edges(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        traces.call_totals(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return service_calls(stream, time, within).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def trace_index(spans: DataFrame, time: str, stream: str, within: str) -> DataFrame:
+    """The first row of each service and trace, as it comes; repeats within the time are dropped."""
+    first = spans.withWatermark(time, within).dropDuplicatesWithinWatermark(["service_name", "trace_id"])
+    return first.select(F.unix_micros(F.col(time).cast("timestamp")).alias("_timestamp"), F.lit(stream).alias("stream_name"), "service_name", "trace_id")
 
 
 def derived(spark: SparkSession, plan: Callable[[int, int], DataFrame], path: str, start_us: int, end_us: int, every_us: int) -> int:

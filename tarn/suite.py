@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from tarn.catalog import Catalog
 from tarn.functions import registry
 from tarn.functions.regex import regexp_match, regexp_match_to_fields
 from tarn.operators import jobs, relational, traces
+from tarn.plans import conditions, pages
 from tarn.plans.search import Engine, Request
 from tarn.promql.evaluator import Evaluator
+from tarn.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -513,7 +516,63 @@ def _(spark, sf_dir):
     return relational.sample_by_digest(table(spark, sf_dir, "events"), 0.1, ["event_id"]).select("event_id", "event_type")
 
 
-@_frame("encryption", "SELECT c_custkey, c_name FROM customer")
+@_frame("encryption", """SELECT c_custkey, c_name, 4 * ((length(c_name) + 28 + 2) // 3) AS sealed_length, true AS differs, true AS wrong_key_is_null, true AS plain_is_null, c_name AS from_path FROM customer""")
 def _(spark, sf_dir):
-    sealed = F.aes_encrypt("c_name", F.lit("0123456789abcdef"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.aes_decrypt(sealed, F.lit("0123456789abcdef")).cast("string").alias("c_name"))
+    """Sealed texts have the length of nonce, text and tag in base 64, open with their key only, and in a JSON object too."""
+    registry.register(spark)
+    table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "encrypt(c_name, 'key one') AS s").createOrReplaceTempView("sealed_customer")
+    return spark.sql("""SELECT c_custkey, decrypt(s, 'key one') AS c_name, CAST(char_length(s) AS BIGINT) AS sealed_length, s <> c_name AS differs, decrypt(s, 'key two') IS NULL AS wrong_key_is_null,
+        decrypt(c_name, 'key one') IS NULL AS plain_is_null, decrypt_path(to_json(named_struct('a', named_struct('b', s))), 'a.b', 'key one') AS from_path FROM sealed_customer""")
+
+
+@_frame("conditions", "SELECT event_id, event_type, value FROM events WHERE (event_type LIKE '%lic%' OR event_type NOT LIKE '%i%') AND value >= 10 AND user_id <> 3 AND event_type NOT IN ('error')")
+def _(spark, sf_dir):
+    tree = {"and": [{"or": [{"column": "event_type", "operator": "Contains", "value": "lic"}, {"column": "event_type", "operator": "NotContains", "value": "i"}]}, {"column": "value", "operator": ">=", "value": 10}, {"column": "user_id", "operator": "<>", "value": 3}, {"column": "event_type", "operator": "not in", "value": ["error"]}]}
+    return engine(spark, sf_dir).plan(Request(f"SELECT event_id, event_type, value FROM events WHERE {conditions.where(tree)}"))
+
+
+@_frame("qualify", "SELECT event_type, event_id, value FROM events WHERE user_id > 3 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 3 ORDER BY event_id")
+def _(spark, sf_dir):
+    return engine(spark, sf_dir).plan(Request("SELECT event_type, event_id, value FROM events WHERE user_id > 3 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 3 ORDER BY event_id"))
+
+
+@_frame("as_of_join", "SELECT a.event_id, a.user_id, b.value AS last_click FROM events a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts >= b.ts WHERE a.event_type = 'purchase'")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    clicks = e.filter("event_type = 'click'").select("user_id", "t", F.col("value").alias("last_click"))
+    return relational.as_of_join(e.filter("event_type = 'purchase'").select("event_id", "user_id", "t"), clicks, ["user_id"], "t").drop("t")
+
+
+@_frame("interval_join", "SELECT a.event_id, b.event_id AS span_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.ts >= b.ts AND a.ts < b.ts + INTERVAL 6 HOUR WHERE a.event_type = 'purchase' AND b.event_type = 'click'")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    spans = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("span_id"), F.col("t").alias("low"), (F.col("t") + 21_600_000_000).alias("high"))
+    return relational.interval_join(e.filter("event_type = 'purchase'").select("event_id", "user_id", "t"), spans, ["user_id"], "t", "low", "high", 21_600_000_000).select("event_id", "span_id")
+
+
+@_frame("cached_slices", "SELECT event_type, count(value) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    """From slices of ten days; those that the range cuts are aggregated afresh."""
+    us = table(spark, sf_dir, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    low, high = us.agg(F.min("t"), F.max("t")).first()
+    cache = pages.SliceCache(engine(spark, sf_dir), f"{scratch_dir(spark)}/slices-{uuid.uuid4().hex}", 864_000_000_000)
+    request = Request("SELECT event_type, value FROM events", low or 0, (high or 0) + 1)
+    out = cache.aggregate("by_type", request, ["event_type"], "value", request.end_us)
+    return out.select("event_type", "count", F.round("sum", 4).alias("sum"), "min", "max", F.round("avg", 6).alias("avg"))
+
+
+@_frame("edge_history", _D_SPANS + """ SELECT p.service AS client, s.service AS server, s.start_time // 5000000 * 5000000 AS bucket_start, count(*) AS total_requests, count(*) FILTER (WHERE s.status = 'ERROR') AS failed_requests
+    FROM s LEFT JOIN s p ON s.trace_id = p.trace_id AND s.parent = p.span_id WHERE p.service IS NULL OR p.service <> s.service GROUP BY ALL""")
+def _(spark, sf_dir):
+    return traces.edge_history(_spans(spark, sf_dir), 5_000_000).select("client", "server", "bucket_start", "total_requests", "failed_requests")
+
+
+@_frame("duration_percentiles", _D_SPANS + " SELECT service AS service_name, count(*) AS spans, round(quantile_cont((end_time - start_time)::DOUBLE, 0.5), 6) AS p50, round(quantile_cont((end_time - start_time)::DOUBLE, 0.99), 6) AS p99 FROM s GROUP BY 1")
+def _(spark, sf_dir):
+    out = traces.duration_percentiles(_spans(spark, sf_dir), ["service_name"], (0.5, 0.99), exact=True)
+    return out.select("service_name", "spans", *[F.round(c, 6).alias(c) for c in ("p50", "p99")])
+
+
+@_frame("trace_list_by_user", _D_SPANS + " SELECT trace_id, min(service) AS \"user\", count(*) AS spans FROM s GROUP BY 1 HAVING min(service) = 'assistant'")
+def _(spark, sf_dir):
+    return traces.trace_list_by_user(_spans(spark, sf_dir), "service_name", "assistant").select("trace_id", "user", "spans")

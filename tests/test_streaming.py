@@ -85,3 +85,34 @@ def test_backfill_is_idempotent(spark, tmp_path):
     assert n == 3 and spark.read.parquet(str(tmp_path / "d")).count() == 3
     with pytest.raises(ValueError):
         S.derived(spark, None, "", 0, 1, 1)
+
+
+def test_join_of_streams_with_one_time_name(spark, events):
+    folder, _, schema = events
+    left, right = S.source(spark, folder, schema), S.source(spark, folder, schema)
+    out = drain(S.join_streams(left, right, ["k"], "ts", "ts", "2 minutes"), "joined")
+    assert sorted((r.k, r.v, r.right_v) for r in out.collect()) == [("a", 1, 1), ("a", 1, 2), ("a", 2, 1), ("a", 2, 2), ("b", 3, 3)]
+
+
+def test_service_graph_over_batches(spark, tmp_path):
+    from tarn.operators import traces
+
+    folder, out, check = (str(tmp_path / x) for x in ("spans", "out", "check"))
+    schema = "ts timestamp, trace_id string, span_id string, reference_parent_span_id string, service_name string, span_status string, start_time long, end_time long"
+
+    def put(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = S.source(spark, folder, spark.read.parquet(folder).schema, 1)
+        S.service_graph_batches(stream, out, check, "ts", "10 minutes").trigger(availableNow=True).start().awaitTermination(120)
+
+    put((at(0), "t", "1", "", "web", "OK", 0, 9))
+    run()
+    put((at(1), "t", "2", "1", "db", "ERROR", 1, 5))  # its parent came in an earlier batch
+    run()
+    for m in (60, 120):
+        put((at(m), "x", str(m), "", "clock", "OK", 0, 1))
+        run()
+    got = {(r.client, r.server): (r.total_requests, r.failed_requests) for r in traces.edge_totals(spark.read.parquet(out)).collect()}
+    assert got[("web", "db")] == (1, 1) and got[(None, "web")] == (1, 0) and (None, "db") not in got
