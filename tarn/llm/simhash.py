@@ -132,12 +132,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), key.alias("key"))
     own = scratch.write(fingerprints(rows, "text", ["id", "key"]), "fps")
     by_fp = scratch.write(_roots(own, scratch).select("fp", "root"), "by_fp")
-    first = own.join(by_fp, "fp").groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "key")).alias("first"))
-    keepers = first.select(F.col("first.id").alias("keeper"), F.col("first.key").alias("keeper_key"))
+    ranked = own.join(by_fp, "fp").groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n"))
+    first = ranked.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "key", "n")).alias("first"))
+    keepers = first.select(F.col("first.id").alias("keeper"), F.col("first.key").alias("keeper_key"), (F.col("first.n") > 1).alias("again"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"), key.alias("key"))
-    kept = packed.join(keepers, packed["id"].eqNullSafe(keepers["keeper"]) & (packed["key"] == keepers["keeper_key"]), "left_semi")
-    # Rows that agree in id and text: the first in a fixed order stays, found by a partial aggregate.
-    one = kept.groupBy("id", "key").agg(F.min(F.struct(*[F.col("doc").getField(c).alias(c) for c in docs.columns])).alias("doc"))
+    kept = packed.join(keepers, packed["id"].eqNullSafe(keepers["keeper"]) & (packed["key"] == keepers["keeper_key"]))
+    # Rows that agree in id and text: the first in a fixed order stays, found by a partial aggregate. Maps have no order.
+    ordered = F.struct(*[F.col("doc").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    several = kept.filter("again").groupBy("id", "key").agg(F.min_by("doc", ordered).alias("doc"))
+    one = kept.filter("NOT again").select("doc").unionAll(several.select("doc"))
     return one.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
