@@ -199,7 +199,8 @@ def mix_sql(docs: str) -> str:
     case = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
     return rf"""
 WITH mix_docs AS (
-    SELECT *, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size,
+    SELECT *, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size,
         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS place
     FROM {docs}
 ), src AS (
