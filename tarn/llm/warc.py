@@ -242,7 +242,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     # The share of small pages that gives about DICT_SAMPLES of them, told by a hash: the same in every run.
     small = sized.filter(F.octet_length(html_col).between(1, SAMPLE_BYTES))
     share = DICT_SAMPLES / max(1, small.count())
-    rows = small.filter(F.xxhash64(F.lit("dictionary"), "page_id") / 2.0**64 + 0.5 <= share).select(html_col).limit(4 * DICT_SAMPLES).collect()
+    place = F.xxhash64(F.lit("dictionary"), "page_id")
+    rows = small.filter(place / 2.0**64 + 0.5 <= share).orderBy(place, F.col(html_col)).select(html_col).limit(4 * DICT_SAMPLES).collect()
     dictionary = train(sorted(r[0].encode() for r in rows))
     decided = decide(sized, payload, "page_id", scratch).select("page_id", "url", "payload", "record_type", "refers_to")
     # Rows of a task in a fixed order, so that a task run again writes the same files.
