@@ -43,10 +43,12 @@ def line_key(line: Column) -> Column:
 
 
 class RunStore:
-    """Runs of line hashes by level, in the session's warehouse."""
+    """Runs of line hashes by level: tables of the session whose files lie in the shared folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark = spark
+        self.scratch = Scratch(spark, "runs")
+        self.saved: list[str] = []
         self.fanout = fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.prefix = f"line_run_{uuid.uuid4().hex}"
@@ -58,11 +60,17 @@ class RunStore:
         self.serial += 1
         name = f"{self.prefix}_{self.serial}"
         (
-            df.repartition(self.buckets, *_KEY).write.format("parquet").option("compression", "zstd")
+            df.repartition(self.buckets, *_KEY).write.format("parquet").option("compression", "zstd").option("path", self.scratch.path(name))
             .bucketBy(self.buckets, *_KEY).sortBy(*_KEY).saveAsTable(name)
         )
+        self.saved.append(name)
         return name
 
+    def discard(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.drop(name)
+        self.saved.remove(name)
+
     def stage(self, df: DataFrame) -> str:
         """A batch's keys in run layout, not yet part of any level."""
         return self._save(df)
@@ -91,7 +99,7 @@ class RunStore:
             if len(runs) >= self.fanout:
                 merged = self._save(reduce(DataFrame.unionAll, [self.spark.table(n) for n in runs]))
                 for n in runs:
-                    self.spark.sql(f"DROP TABLE {n}")
+                    self.discard(n)
                 self.levels[level] = []
                 if level + 1 == len(self.levels):
                     self.levels.append([])
@@ -99,8 +107,9 @@ class RunStore:
             level += 1
 
     def drop(self) -> None:
-        for n in self.names():
-            self.spark.sql(f"DROP TABLE {n}")
+        """Every table of the store, those of no level too."""
+        for n in list(self.saved):
+            self.discard(n)
         self.levels = []
 
 
@@ -129,29 +138,29 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     staged = scratch.write(lines, "lines", ["batch"])
 
     store = RunStore(spark)
-    hits: list[str] = []
-    for b in range(len(bounds), -1, -1):
-        own = staged.filter(F.col("batch") == b).groupBy(*_KEY).agg(F.max("doc_id").alias("holder"), F.count(F.lit(1)).alias("n"))
-        if not store.names():
-            store.add(own)
-            continue
-        name = store.stage(own)
-        keys = spark.table(name)
-        own_run = store.add(store.fresh(keys))
-        known = keys.join(spark.table(own_run).select(*_KEY).hint("merge"), _KEY, "left_anti")
-        hits.append(store.stage(known.select(*_KEY, F.lit(None).cast(keys.schema["holder"].dataType).alias("holder"), "n")))
-        spark.sql(f"DROP TABLE {name}")
-        store.compact()
-
-    # Rows bound documents from above: only keys with enough rows can be in enough documents.
-    # Grouped by a struct: over a union of tables bucketed by the group's own columns, Spark 4.1 leaves out
-    # the exchange and then reads the tables unbucketed, which gives partial sums as results.
-    every = reduce(DataFrame.unionAll, [spark.table(n) for n in [*store.names(), *hits]])
-    counted = every.groupBy(F.struct(*_KEY).alias("key")).agg(F.max("holder").alias("holder"), F.sum("n").alias("n")).select("key.*", "holder", "n")
-    likely = scratch.write(counted.filter(F.col("n") >= min_docs).select(*_KEY, "holder"), "likely")
-    store.drop()
-    for n in hits:
-        spark.sql(f"DROP TABLE {n}")
+    try:
+        hits: list[str] = []
+        for b in range(len(bounds), -1, -1):
+            own = staged.filter(F.col("batch") == b).groupBy(*_KEY).agg(F.max("doc_id").alias("holder"), F.count(F.lit(1)).alias("n"))
+            if not store.names():
+                store.add(own)
+                continue
+            name = store.stage(own)
+            keys = spark.table(name)
+            own_run = store.add(store.fresh(keys))
+            known = keys.join(spark.table(own_run).select(*_KEY).hint("merge"), _KEY, "left_anti")
+            hits.append(store.stage(known.select(*_KEY, F.lit(None).cast(keys.schema["holder"].dataType).alias("holder"), "n")))
+            store.discard(name)
+            store.compact()
+
+        # Rows bound documents from above: only keys with enough rows can be in enough documents.
+        # Grouped by a struct: over a union of tables bucketed by the group's own columns, Spark 4.1 leaves out
+        # the exchange and then reads the tables unbucketed, which gives partial sums as results.
+        every = reduce(DataFrame.unionAll, [spark.table(n) for n in [*store.names(), *hits]])
+        counted = every.groupBy(F.struct(*_KEY).alias("key")).agg(F.max("holder").alias("holder"), F.sum("n").alias("n")).select("key.*", "holder", "n")
+        likely = scratch.write(counted.filter(F.col("n") >= min_docs).select(*_KEY, "holder"), "likely")
+    finally:
+        store.drop()
     rows = scratch.write(staged.select("doc_id", "th", "pos", *_KEY).join(likely, _KEY), "rows")
     scratch.drop("lines")
     often = rows.groupBy(*_KEY, "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
