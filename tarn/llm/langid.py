@@ -73,30 +73,48 @@ class Model:
                 return np.mean(found, axis=0) * BACKOFF ** (ORDERS[0] + 1 - order)
         return np.zeros(len(self.langs))
 
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        if not text or not self.langs:
-            return UNKNOWN, 0.0
-        words = words_of(text)
-        if not any(w.isalpha() for w in words) and not any(c.isalpha() for c in text):
-            return UNKNOWN, 0.0
-        counts = Counter(words)
-        rows = []
-        for w in counts:
-            v = self.words.get(w)
-            if v is None:
-                v = cache.get(w)
-                if v is None:
-                    if len(cache) >= _CACHE:
-                        cache.clear()
-                    v = cache[w] = self.word_scores(w)
-            rows.append(v)
-        total = self.prior.copy()
-        if rows:
-            total = total + np.asarray(list(counts.values()), dtype=float) @ np.asarray(rows)
-        best = int(np.argmax(total))
-        # Spread over the words, so that the score tells a clear text from a doubtful one.
-        share = np.exp((total - total[best]) / math.sqrt(max(1, len(words))))
-        return self.langs[best], float(1.0 / share.sum())
+    def predict(self, texts: list[str | None], cache: _Scores) -> list[tuple[str, float]]:
+        """Language and score of each text: the words of all texts are looked up once, and their scores summed per text."""
+        words = [words_of(t) if t and self.langs else [] for t in texts]
+        sizes = np.array([len(w) for w in words])
+        total = np.tile(self.prior, (len(texts), 1))
+        held = np.flatnonzero(sizes)
+        if len(held):
+            if len(cache) > _CACHE:
+                cache.reset()
+            ids = np.fromiter((cache[w] for own in words for w in own), dtype=np.int64, count=int(sizes.sum()))
+            total[held] += np.add.reduceat(cache.table[ids], (np.cumsum(sizes) - sizes)[held], axis=0)
+        out = []
+        for text, own, row in zip(texts, words, total):
+            if not text or not self.langs or not (own or any(c.isalpha() for c in text)):
+                out.append((UNKNOWN, 0.0))
+                continue
+            best = int(np.argmax(row))
+            # Spread over the words, so that the score tells a clear text from a doubtful one.
+            share = np.exp((row - row[best]) / math.sqrt(max(1, len(own))))
+            out.append((self.langs[best], float(1.0 / share.sum())))
+        return out
+
+
+class _Scores(dict):
+    """word -> its row in ``table``, the scores of the words met; emptied between batches when it is full."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.table = np.zeros((1024, len(self.model.langs)))
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        self.table[at] = self.model.word_scores(word)
+        self[word] = at
+        return at
 
 
 def _count_words(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -138,15 +156,19 @@ def _explode_grams(counts: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, max_entries: int = MAX_ENTRIES) -> Model:
     """Learn from rows that have a text and a language."""
     usable = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).withColumn("h", F.xxhash64(F.lit("langid"), F.col(id_col)))
-    docs = {r[0]: r[1] for r in usable.groupBy(lang_col).agg(F.count(F.lit(1))).collect()}
-    if not docs:
-        return Model([], np.zeros(0), {}, {})
     # Each language gives up to an equal share of the sample, so that rare ones are learned as well.
-    share = sample_docs / len(docs)
-    limit = F.create_map(*[x for k, n in docs.items() for x in (F.lit(k), F.lit(min(1.0, share / n)))])
-    picked = usable.filter((F.col("h") / 2.0**64 + 0.5) <= limit[F.col(lang_col)])
+    sizes = usable.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__n"))
+    n_langs = sizes.count()
+    if not n_langs:
+        return Model([], np.zeros(0), {}, {})
+    limits = sizes.select(F.col(lang_col).alias("__lang"), F.least(F.lit(1.0), F.lit(sample_docs / n_langs) / F.col("__n")).alias("__limit"))
+    picked = usable.join(limits, F.col(lang_col) == F.col("__lang")).filter((F.col("h") / 2.0**64 + 0.5) <= F.col("__limit"))
     counts = _explode_grams(_count_words(picked, text_col, lang_col)).cache()
     totals = {(r["lang"], r["order"]): (r["n"], r["types"]) for r in counts.groupBy("lang", "order").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()}
+    docs = {lang for lang, _ in totals}
+    if not docs:
+        counts.unpersist()
+        return Model([], np.zeros(0), {}, {})
     per_table = max(100, max_entries // (len(docs) * (len(ORDERS) + 1)))
     top = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram")
     kept = counts.filter(F.col("n") >= MIN_COUNT).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= per_table).select("lang", "order", "gram", "n").collect()
@@ -167,10 +189,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """docs with lang_pred and score; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES entries
-    cache: dict[str, np.ndarray] = {}
+    cache: list[_Scores] = []
 
     def batch(texts: list) -> dict[str, list]:
-        got = [shared.value.predict(t, cache) for t in texts]
+        if not cache:
+            cache.append(_Scores(shared.value))
+        got = shared.value.predict(texts, cache[0])
         return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
     return map_rows(docs, text_col, OUT, batch, carry, as_bytes=False)
