@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import map_rows
+from tarn.llm.common import Scratch, map_rows
 
 BLOCK = 1024
 SAMPLE_RATE = 8000
 BITS = 8
 PAD = 64
+#: Linear predictors that the query's files may use.
+LPC_ORDER = 2
 # Fixed predictor coefficients by order (newest sample first), from the format.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 #: Frames worked on side by side; bounds memory for long payloads.
@@ -126,14 +128,21 @@ def _residuals(x: np.ndarray, order: int) -> np.ndarray:
     return np.diff(x, n=order, axis=1) if order else x
 
 
-def _lpc_fit(x: np.ndarray, order: int, precision: int = 7) -> tuple[np.ndarray, int]:
-    """Least-squares coefficients of one frame, as integers with a shift."""
-    x = x.astype(float)
-    rows = np.stack([x[order - 1 - k : len(x) - 1 - k] for k in range(order)], axis=1)
-    c = np.linalg.lstsq(rows, x[order:], rcond=None)[0]
-    top = float(np.max(np.abs(c))) or 1.0
-    shift = int(np.clip(precision - 2 - np.floor(np.log2(top)), 0, 15)) if top > 2**-20 else 0
-    return np.clip(np.round(c * 2**shift), -(2 ** (precision - 1)), 2 ** (precision - 1) - 1).astype(np.int64), shift
+def _lpc_fit(x: np.ndarray, order: int, precision: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares coefficients of every frame (a row each), as integers with a shift per frame."""
+    past = np.stack([x[:, order - 1 - k : x.shape[1] - 1 - k] for k in range(order)], axis=2).astype(float)
+    square = np.einsum("ntk,ntl->nkl", past, past) + np.eye(order) * 1e-6
+    c = np.linalg.solve(square, np.einsum("ntk,nt->nk", past, x[:, order:].astype(float))[:, :, None])[:, :, 0]
+    top = np.abs(c).max(axis=1)
+    shift = np.where(top > 2**-20, np.clip(precision - 2 - np.floor(np.log2(np.maximum(top, 2**-20))), 0, 15), 0).astype(np.int64)
+    limit = 2 ** (precision - 1)
+    return np.clip(np.round(c * 2.0 ** shift[:, None]), -limit, limit - 1).astype(np.int64), shift
+
+
+def _lpc_residuals(x: np.ndarray, c: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    order = c.shape[1]
+    guess = sum(c[:, k : k + 1] * x[:, order - 1 - k : x.shape[1] - 1 - k] for k in range(order)) >> shift[:, None]
+    return x[:, order:] - guess
 
 
 def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, width: int) -> None:
@@ -205,26 +214,28 @@ def _bodies(x: np.ndarray, lpc_order: int) -> list[bytes]:
     orders = [o for o in (0, 1, 2) if size > o]
     cost = np.stack([np.abs(_residuals(y, o)).sum(axis=1) for o in orders], axis=1)
     best = np.argmin(cost, axis=1)
+    if lpc_order and size > 2 * lpc_order:
+        c, shift = _lpc_fit(y, lpc_order)
+        residual = _lpc_residuals(y, c, shift)
+        # The coefficients take some bits too.
+        pick = np.flatnonzero(np.abs(residual).sum(axis=1) + 16 * lpc_order < cost.min(axis=1))
+        best[pick] = -1
+        heads = np.concatenate((np.full((len(pick), 1), (32 | lpc_order - 1) << 1), y[pick, :lpc_order] & 0xFF), axis=1)
+        extra = [(6, 4), (shift[pick], 5), *[(c[pick, k] & 0x7F, 7) for k in range(lpc_order)]]
+        for i, body in zip(rest[pick].tolist(), _rice(heads, residual[pick], y[pick], extra)):
+            out[i] = body
     for order in orders:
         pick = np.flatnonzero(best == order)
         if not len(pick):
             continue
         z = y[pick]
-        if lpc_order and size > lpc_order + 1:
-            for i, row in zip(rest[pick].tolist(), z):
-                c, shift = _lpc_fit(row, lpc_order)
-                guess = sum(int(c[k]) * row[lpc_order - 1 - k : size - 1 - k] for k in range(lpc_order)) >> shift
-                head = [(32 | lpc_order - 1) << 1] + (row[:lpc_order] & 0xFF).tolist()
-                extra = [(6, 4), (shift, 5), *[(int(v) & 0x7F, 7) for v in c]]
-                out[i] = _rice(np.array([head]), (row[lpc_order:] - guess)[None, :], row[None, :], extra)[0]
-            continue
         heads = np.concatenate((np.full((len(pick), 1), (8 | order) << 1), z[:, :order] & 0xFF), axis=1)
         for i, body in zip(rest[pick].tolist(), _rice(heads, _residuals(z, order), z, [])):
             out[i] = body
     return out
 
 
-def _rice(heads: np.ndarray, residual: np.ndarray, samples: np.ndarray, extra: list[tuple[int, int]]) -> list[bytes]:
+def _rice(heads: np.ndarray, residual: np.ndarray, samples: np.ndarray, extra: list[tuple[np.ndarray | int, int]]) -> list[bytes]:
     """Subframes with one Rice partition each; verbatim where that is not longer."""
     n, m = residual.shape
     folded = np.where(residual < 0, -2 * residual - 1, 2 * residual)
@@ -248,7 +259,7 @@ def _rice(heads: np.ndarray, residual: np.ndarray, samples: np.ndarray, extra: l
         _put(bits, at, heads[use, col], 8)
         at = at + 8
     for value, width in extra:
-        _put(bits, at, np.full(len(use), value), width)
+        _put(bits, at, np.broadcast_to(value, n)[use], width)
         at = at + width
     # Rice with 4-bit parameters, partition order 0.
     _put(bits, at + 6, parameter[use], 4)
@@ -558,26 +569,35 @@ def _decode_rice(buf, rows, k, bit, predictors, sizes, ends, samples) -> None:
         raise FlacError("a frame's length does not match its samples")
     groups: dict[tuple, list[int]] = {}
     for i, j in enumerate(order.tolist()):
-        groups.setdefault(predictors[j], []).append(i)
+        p, c, shift = predictors[j]
+        fixed = shift == 0 and list(c) == FIXED[p] if p < len(FIXED) else False
+        # Linear predictors of one order are undone together, whatever their coefficients.
+        groups.setdefault((p, c, 0) if fixed else (p, None, None), []).append(i)
     for (p, c, shift), own in groups.items():
         own = np.array(own)
         target = samples[rows[own]]
         if p == 0:
             target[:, : residual.shape[1]] = residual[own][:, : target.shape[1]]
-        elif shift == 0 and list(c) == FIXED[p] and p <= 2:
+        elif c is not None and p <= 2:
             # A fixed predictor undone by running sums, from the warm-up's own differences.
             start = [np.diff(target[:, :p], n=d, axis=1)[:, -1] for d in range(p)]
             x = residual[own]
             for d in range(p - 1, -1, -1):
                 x = np.cumsum(x, axis=1) + start[d][:, None]
-            room = target.shape[1] - p
-            target[:, p:] = x[:, :room]
+            room = min(target.shape[1] - p, x.shape[1])
+            target[:, p : p + room] = x[:, :room]
         else:
+            every = [predictors[j] for j in order[own].tolist()]
+            factors = np.array([e[1] for e in every], dtype=np.int64).T
+            shifts = np.array([e[2] for e in every], dtype=np.int64)
+            # A row per point of time, so that a step reads and writes whole rows.
+            x, r = np.ascontiguousarray(target.T), np.ascontiguousarray(residual[own].T)
             for t in range(int(left[own].max())):
-                guess = np.zeros(len(own), dtype=np.int64)
-                for d, coefficient in enumerate(c):
-                    guess += coefficient * target[:, p + t - 1 - d]
-                target[:, p + t] = residual[own, t] + (guess >> shift)
+                guess = factors[0] * x[p + t - 1]
+                for d in range(1, p):
+                    guess += factors[d] * x[p + t - 1 - d]
+                x[p + t] = r[t] + (guess >> shifts)
+            target = x.T
         # Beyond a frame's own size the running sums go on; those cells are no samples.
         target[np.arange(target.shape[1])[None, :] >= sizes[rows[own]][:, None]] = 0
         samples[rows[own]] = target
@@ -604,11 +624,11 @@ BLOCKS = T.ArrayType(T.StructType([T.StructField("sample", T.LongType()), T.Stru
 ROWS = 512
 
 
-def encode(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, lpc_order: int = 0) -> DataFrame:
     """docs with ``media``, a FLAC file of the text's padded bytes, and ``n_bytes``, the bytes of the text."""
 
     def batch(texts: list) -> dict[str, list]:
-        return {"media": encode_many([padded(t) for t in texts]), "n_bytes": [len(t or b"") for t in texts]}
+        return {"media": encode_many([padded(t) for t in texts], lpc_order=lpc_order), "n_bytes": [len(t or b"") for t in texts]}
 
     return map_rows(docs, text_col, MEDIA, batch, carry, rows_per_batch=ROWS)
 
@@ -630,7 +650,14 @@ def features(media: DataFrame, media_col: str = "media", carry: list[str] | None
 
     def batch(files: list) -> dict[str, list]:
         out: dict[str, list] = {f.name: [] for f in FEATURES.fields}
-        for f, (x, spans, what) in zip(files, decode_many(files)):
+        for f, (samples, spans, what) in zip(files, decode_many(files)):
+            # The blocks in the order of their offsets, each where the one before ends.
+            at = 0
+            for offset, n in sorted(spans):
+                if offset != at:
+                    raise FlacError("a block is missing")
+                at += n
+            x = samples[:at]
             steps = int(np.abs(np.diff(np.frombuffer(x, dtype=np.uint8).astype(np.int64))).sum())
             used = sorted({p: sum(q == p for q, _ in what) for p, _ in what}.items())
             out["payload_bytes"].append(len(x))
@@ -645,5 +672,5 @@ def features(media: DataFrame, media_col: str = "media", carry: list[str] | None
 
 
 def query(docs: DataFrame) -> DataFrame:
-    media = encode(docs.select("doc_id", "text"), carry=["doc_id"])
+    media = Scratch(docs.sparkSession, "flac").write(encode(docs.select("doc_id", "text"), carry=["doc_id"], lpc_order=LPC_ORDER), "media")
     return features(media, carry=["doc_id", "n_bytes"]).select("doc_id", "n_bytes", *[f.name for f in FEATURES.fields])

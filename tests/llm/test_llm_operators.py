@@ -82,6 +82,52 @@ def test_language_id_backs_off_to_shorter_grams():
     assert not m.word_scores("qq").any()
 
 
+def test_language_id_against_plain_counts(spark, docs):
+    """Counts, log frequencies and sums over words, recomputed word by word, and rows that real tables bring."""
+    import math
+
+    rows = [(i, r.text, ["xx", "yy"][i % 2], "s", 0) for i, r in enumerate(docs.collect())]
+    rows += [(None, "alpha beta", "xx", "s", 0), (None, "alpha beta", "xx", "s", 0), (900, "alpha unheard " * 20000, None, "s", 0), (902, "alpha", " odd lang ", "s", 0)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    labelled = table.filter("lang IS NOT NULL")
+    model = langid.train(labelled)
+    counts, totals = defaultdict(Counter), Counter()
+    for _, t, lang, _, _ in rows:
+        if t is None or lang is None:
+            continue
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            counts[(lang, 0)][w] += 1
+            for n in langid.ORDERS:
+                for g in langid.grams_of(w, n):
+                    counts[(lang, n)][g] += 1
+    for key, c in counts.items():
+        totals[key] = (sum(c.values()), len(c))
+    # A language of which the sample's hash has drawn no row has no table.
+    assert set(model.langs) <= {"xx", "yy", " odd lang "} and {"xx", "yy"} <= set(model.langs)
+
+    def log_of(lang, n, item):
+        c, (total, types) = counts[(lang, n)][item], totals.get((lang, n), (0, 0))
+        return math.log(((c if c >= langid.MIN_COUNT else 0) + langid.SMOOTHING) / (total + langid.SMOOTHING * (types + 1)))
+
+    for n, table_of in [(0, model.words), *model.grams.items()]:
+        kept = {g for (_, k), c in counts.items() if k == n for g, v in c.items() if v >= langid.MIN_COUNT}
+        assert set(table_of) == kept
+        for item, row in table_of.items():
+            assert row.tolist() == pytest.approx([log_of(lang, n, item) for lang in model.langs])
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(table, model, carry=["doc_id"]).collect())
+    expected = Counter()
+    for i, t, *_ in rows:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        if not words:
+            expected[(i, "und", 0.0)] += 1
+            continue
+        total = sum(model.word_scores(w) for w in words)
+        best = int(np.argmax(total))
+        share = np.exp((total - total[best]) / math.sqrt(len(words)))
+        expected[(i, model.langs[best], round(float(1 / share.sum()), 9))] += 1
+    assert got == expected
+
+
 def test_language_id_without_labels(spark, empty):
     assert langid.query(empty).count() == 0
     assert langid.query(spark.createDataFrame([(1, "text", None, "s", 0)], SCHEMA)).first().lang_pred == "und"
@@ -324,6 +370,12 @@ def test_keep_one_of_each_group(docs):
     assert {r.doc_id for r in out.collect()} == {r.component_id for r in found}
 
 
+def test_keep_one_with_maps(spark):
+    text = " ".join(f"w{i * i % 83}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (3, None)], "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    assert sorted((r.doc_id, r.m["k"]) for r in simhash.keep_one(df).collect()) == [(1, 1), (3, 3)]
+
+
 def test_keep_one_with_null_and_repeated_ids(spark):
     text = {k: " ".join(f"{k}{i * i % 83}" for i in range(60)) for k in "abcdef"}
     rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (None, text["c"]), (7, text["c"]), (8, text["d"]), (8, text["e"]), (8, text["e"]), (9, text["e"]), (None, text["f"]), (None, None), (3, None)]
@@ -370,6 +422,85 @@ def test_flac_checks():
         assert flac._read_utf8_number(flac._utf8_number(n), 0)[0] == n
 
 
+def _plain_flac(data):
+    """The samples of an 8-bit mono FLAC file, bit by bit from the format's description."""
+    bits = "".join(f"{b:08b}" for b in data)
+    at = 32
+
+    def take(n):
+        nonlocal at
+        at += n
+        return int(bits[at - n : at], 2) if n else 0
+
+    def signed(n):
+        v = take(n)
+        return v - (1 << n) if v >> (n - 1) else v
+
+    last = 0
+    while not last:
+        last, kind, size = take(1), take(7), take(24)
+        if kind == 0:
+            begin = at
+            at += 80 + 20 + 3 + 5
+            total = take(36)
+            at = begin
+        at += size * 8
+    out, kinds = [], set()
+    while len(out) < total:
+        assert take(14) == 0x3FFE
+        take(2)
+        size_code, rate_code = take(4), take(4)
+        take(8)
+        lead = take(8)
+        at += 8 * max(0, f"{lead:08b}".index("0") - 1) if lead & 0x80 else 0
+        size = {6: lambda: take(8) + 1, 7: lambda: take(16) + 1}.get(size_code, lambda: 192 if size_code == 1 else 576 << size_code - 2 if size_code < 6 else 256 << size_code - 8)()
+        at += {12: 8, 13: 16, 14: 16}.get(rate_code, 0) + 8
+        take(1)
+        kind = take(6)
+        assert take(1) == 0
+        kinds.add(min(kind, 32))
+        if kind == 0:
+            x = [signed(8)] * size
+        elif kind == 1:
+            x = [signed(8) for _ in range(size)]
+        else:
+            order = kind - 31 if kind >= 32 else kind - 8
+            x = [signed(8) for _ in range(order)]
+            c, shift = ([[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order], 0) if kind < 32 else (None, 0)
+            if kind >= 32:
+                precision, shift = take(4) + 1, signed(5)
+                c = [signed(precision) for _ in range(order)]
+            method, parts = take(2), take(4)
+            for part in range(1 << parts):
+                k = take(4 + method)
+                for _ in range((size >> parts) - (order if part == 0 else 0)):
+                    end = bits.index("1", at)
+                    high, at = end - at, end + 1
+                    v = high << k | take(k)
+                    x.append((v >> 1 ^ -(v & 1)) + (sum(a * b for a, b in zip(c, x[: -order - 1 : -1])) >> shift if order else 0))
+        out += x
+        at = (at + 7) // 8 * 8 + 16
+    return bytes(v + 128 for v in out), kinds
+
+
+def test_media_read_by_another_decoder(spark):
+    """The query's files, linear predictors among them, against a decoder that shares no code with the module."""
+    r = random.Random(8)
+    texts = ["", "x", "Plain words of a text. " * 40, "".join(chr(97 + int(8 + 7 * np.sin(i / 9))) for i in range(3000)), "".join(r.choice("ab \n") for _ in range(1500))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    media = {m.doc_id: bytes(m.media) for m in flac.encode(table, carry=["doc_id"], lpc_order=flac.LPC_ORDER).collect()}
+    met = set()
+    for i, t in enumerate(texts):
+        data, kinds = _plain_flac(media[i])
+        met |= kinds
+        assert data == flac.padded(t.encode())
+    assert 32 in met
+    for row in flac.query(table).collect():
+        assert row.media_bytes == len(media[row.doc_id]) and row.media_sha256 == hashlib.sha256(media[row.doc_id]).hexdigest()
+        x = np.frombuffer(flac.padded(texts[row.doc_id].encode()), dtype=np.uint8).astype(int)
+        assert row.feature.startswith(f"frames={-(-len(x) // flac.BLOCK)};steps={np.abs(np.diff(x)).sum()};")
+
+
 def test_media_columns(docs, empty):
     rows = flac.query(docs).collect()
     texts = defaultdict(list)
