@@ -36,6 +36,8 @@ BITS = 8
 PAD = 64
 #: Linear predictors that the query's files may use.
 LPC_ORDER = 2
+#: By how much they must beat the best fixed predictor.
+LPC_GAIN = 1.2
 # Fixed predictor coefficients by order (newest sample first), from the format.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 #: Frames worked on side by side; bounds memory for long payloads.
@@ -217,8 +219,8 @@ def _bodies(x: np.ndarray, lpc_order: int) -> list[bytes]:
     if lpc_order and size > 2 * lpc_order:
         c, shift = _lpc_fit(y, lpc_order)
         residual = _lpc_residuals(y, c, shift)
-        # The coefficients take some bits too.
-        pick = np.flatnonzero(np.abs(residual).sum(axis=1) + 16 * lpc_order < cost.min(axis=1))
+        # The coefficients take some bits too, and a fixed predictor is undone faster.
+        pick = np.flatnonzero(np.abs(residual).sum(axis=1) * LPC_GAIN + 16 * lpc_order < cost.min(axis=1))
         best[pick] = -1
         heads = np.concatenate((np.full((len(pick), 1), (32 | lpc_order - 1) << 1), y[pick, :lpc_order] & 0xFF), axis=1)
         extra = [(6, 4), (shift[pick], 5), *[(c[pick, k] & 0x7F, 7) for k in range(lpc_order)]]
