@@ -35,6 +35,7 @@ UNKNOWN = "und"
 SAMPLE_DOCS = 20_000
 MAX_ENTRIES = 400_000
 MIN_COUNT = 3
+BROADCAST_LANGS = 10_000
 ORDERS = (5, 4, 3, 2, 1)
 # Log-odds that a backed-off word loses against a known one at each shorter order.
 BACKOFF = 0.7
@@ -162,6 +163,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not n_langs:
         return Model([], np.zeros(0), {}, {})
     limits = sizes.select(F.col(lang_col).alias("__lang"), F.least(F.lit(1.0), F.lit(sample_docs / n_langs) / F.col("__n")).alias("__limit"))
+    # A few bytes a language: broadcast up to a checked number of them, so that texts stay where they are.
+    limits = F.broadcast(limits) if n_langs <= BROADCAST_LANGS else limits
     picked = usable.join(limits, F.col(lang_col) == F.col("__lang")).filter((F.col("h") / 2.0**64 + 0.5) <= F.col("__limit"))
     counts = _explode_grams(_count_words(picked, text_col, lang_col)).cache()
     totals = {(r["lang"], r["order"]): (r["n"], r["types"]) for r in counts.groupBy("lang", "order").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()}
