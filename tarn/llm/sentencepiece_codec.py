@@ -41,7 +41,7 @@ WORD = f"{MARK}*[^{MARK}]+|{MARK}+"
 _WORD = re.compile(WORD)
 THREADS = 2
 #: Words whose ids a worker keeps; the cache is emptied when full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PROBES = [
