@@ -11,6 +11,18 @@ Hamming check.
 
 Only distinct fingerprints are compared, so copies cost nothing further.
 
+Two texts whose 5-word shingles have a Jaccard similarity of 0.8 differ in
+about 15 % of the bits, which is too far for 64 bits and four segments. For a
+similarity, fingerprints of the distinct shingles have 1024 bits and 64
+segments on the ring. The distance expected at that similarity has a standard
+deviation of about 11 bits: pairs beyond three of them are not near, pairs that
+much nearer are near, and those between are settled by their shingles. Texts that agree in a segment are sorted by the 64 bits that
+start there; each is compared with the next ones in that order, first by the
+budgets of the chains of these four segments, then by all bits. So a group of
+near copies costs rows in proportion to its size, whatever that is. The search
+is not complete: a pair is missed if at every segment where it agrees other
+texts lie between or a chain is over its budget.
+
 Defined results: a null text or one without words has fingerprint zero and is
 linked like any other; fewer words than a shingle make one shingle of all;
 repeated rows share a fingerprint; a null doc_id takes part and is no
@@ -20,9 +32,15 @@ empty result.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
+
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +52,17 @@ DISTANCE = 3
 SEED = 42
 SEGMENTS = 4
 _WIDTH = 64 // SEGMENTS
+# Near copies by similarity: words a shingle, the least similarity, longs a fingerprint, neighbours compared.
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+LONGS = 16
+NEIGHBOURS = 2
+# Standard deviations of the distance within which the shingles decide.
+DEVIATIONS = 3
+_GOLDEN = 0x9E3779B97F4A7C15
+_STREAMS = np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(_GOLDEN)
+# Shingles counted at once; a byte holds the count.
+_BLOCK = 255
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -60,6 +89,33 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: bytes | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The hashes of the distinct shingles of a UTF-8 text, sorted; of all its words if they are fewer."""
+    words = (text or b"").lower().split()
+    ids = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    hashes = np.zeros(max(len(words) - shingle + 1, min(len(words), 1)), dtype=np.uint64)
+    for k in range(min(shingle, len(words))):
+        hashes = _mix(hashes * np.uint64(_GOLDEN) + ids[k : k + len(hashes)])
+    return np.unique(hashes)
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The SimHash of a UTF-8 text's distinct shingles in LONGS signed longs, zero for a text without words."""
+    hashes = shingle_hashes(text, shingle)
+    counts = np.zeros(64 * LONGS, dtype=np.int64)
+    for i in range(0, len(hashes), _BLOCK):
+        block = _mix(hashes[i : i + _BLOCK, None] + _STREAMS)
+        counts += np.unpackbits(block.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """docs with ``fp``, the fingerprint as a signed long."""
 
@@ -69,6 +125,72 @@ def fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | Non
     return map_rows(docs, text_col, T.StructType([T.StructField("fp", T.LongType())]), batch, carry)
 
 
+def wide_fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """docs with ``longs``, the wide fingerprint, and ``fp``, a 64-bit hash of it that names it."""
+
+    def batch(texts: list) -> dict[str, list]:
+        return {"longs": [wide_fingerprint(t, shingle) for t in texts]}
+
+    return map_rows(docs, text_col, T.StructType([T.StructField("longs", T.ArrayType(T.LongType()))]), batch, carry).withColumn("fp", F.xxhash64("longs"))
+
+
+def bits_apart(similarity: float, deviations: float = 0) -> int:
+    """The distance expected of wide fingerprints of two sets with this Jaccard similarity, and so many standard deviations more."""
+    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * LONGS
+    return max(int(bits * share + deviations * math.sqrt(bits * share * (1 - share))), 0)
+
+
+def similar_enough(pairs: DataFrame, similarity: float, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """The rows (a, b, a_text, b_text) of pairs whose texts' sets of shingles have that Jaccard similarity, as (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                one, other = shingle_hashes(x.as_py(), shingle), shingle_hashes(y.as_py(), shingle)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(other) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    texts = [F.coalesce(F.col(c), F.lit("")).cast("binary").alias(c) for c in ("a_text", "b_text")]
+    return pairs.select("a", "b", *texts).mapInArrow(run, "a long, b long")
+
+
+def near_links(fps: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct wide fingerprints found near each other.
+
+    fps has (fp, longs, key), texts has (key, text) in which key names a text.
+    """
+    sure, distance = bits_apart(similarity, -DEVIATIONS), bits_apart(similarity, DEVIATIONS)
+    per_long, ring = 64 // _WIDTH, LONGS * 64 // _WIDTH
+    following = F.get("longs", (F.col("q") + 1) % LONGS)
+
+    def window(r: int) -> Column:
+        bits = F.shiftleft("x", _WIDTH * r).bitwiseOR(F.shiftrightunsigned(following, 64 - _WIDTH * r)) if r else F.col("x")
+        return F.struct((F.col("q") * per_long + r).alias("start"), bits.alias("w"))
+
+    starts = fps.select("fp", "longs", F.posexplode("longs").alias("q", "x"))
+    offers = starts.select("fp", F.explode(F.array(*[window(r) for r in range(per_long)])).alias("o")).select("fp", "o.start", "o.w")
+    order = Window.partitionBy("start", F.shiftrightunsigned("w", 64 - _WIDTH)).orderBy("w", "fp")
+    after = [F.lead(F.struct("w", "fp"), k).over(order) for k in range(1, NEIGHBOURS + 1)]
+    met = offers.select("fp", "w", F.array(*after).alias("after")).select("fp", "w", F.explode("after").alias("next")).filter("next IS NOT NULL")
+    differ = F.col("w").bitwiseXOR(F.col("next.w"))
+    for length in range(2, per_long + 1):
+        met = met.filter(F.bit_count(F.shiftrightunsigned(differ, 64 - _WIDTH * length)) <= length * distance // ring)
+    pairs = met.select(F.least("fp", "next.fp").alias("a"), F.greatest("fp", "next.fp").alias("b")).distinct()
+    sides = [fps.select(F.col("fp").alias(s), F.col("longs").alias(f"{s}_longs"), F.col("key").alias(f"{s}_key")) for s in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    apart = reduce(add, [_differ(F.get("a_longs", F.lit(i)), F.get("b_longs", F.lit(i))) for i in range(LONGS)])
+    near = scratch.write(both.withColumn("apart", apart).filter(F.col("apart") <= distance).select("a", "b", "a_key", "b_key", "apart"), "near")
+    open_ = near.filter(F.col("apart") > sure)
+    keys = open_.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
+    # Texts under one key are the same.
+    known = scratch.write(texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "open_texts")
+    for s in "ab":
+        open_ = open_.join(known.select(F.col("key").alias(f"{s}_key"), F.col("text").alias(f"{s}_text")), f"{s}_key")
+    return near.filter(F.col("apart") <= sure).select("a", "b").unionAll(similar_enough(open_, similarity))
+
+
 def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, _WIDTH * (i % SEGMENTS)).bitwiseAND(F.lit((1 << _WIDTH) - 1))
 
@@ -104,10 +226,11 @@ def links(fps: DataFrame) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _roots(own: DataFrame, scratch: Scratch) -> DataFrame:
+def _roots(own: DataFrame, scratch: Scratch, link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """(fp, least, root) per distinct fingerprint of own (id, fp): the least id with it, and the least fingerprint reachable over links."""
-    distinct = scratch.write(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp")), scratch)
+    longs = [F.first("longs").alias("longs"), F.min("key").alias("key")] if "longs" in own.columns else []
+    distinct = scratch.write(own.groupBy("fp").agg(F.min("id").alias("least"), *longs), "distinct")
+    roots = components(link(distinct.drop("least")), scratch)
     return distinct.join(roots, distinct["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
@@ -121,18 +244,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return own.join(by_fp, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """docs with one document of each component: that with the least id (a null one is last), and of rows that share it the least digest of the text.
 
+    Components are those of ``classes``; with a similarity, those of wide
+    fingerprints over shingles of NEAR_SHINGLE words that are as near.
     A component is known by its root, so documents without an id, or under an
     id that others have as well, stand for themselves.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     key = F.coalesce(F.md5(F.col(f"`{text_col}`")), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), key.alias("key"))
-    own = scratch.write(fingerprints(rows, "text", ["id", "key"]), "fps")
-    by_fp = scratch.write(_roots(own, scratch).select("fp", "root"), "by_fp")
-    ranked = own.join(by_fp, "fp").groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n"))
+    if similarity is None:
+        own = scratch.write(fingerprints(rows, "text", ["id", "key"]), "fps")
+        grouped = _roots(own, scratch)
+    else:
+        own = scratch.write(wide_fingerprints(rows, "text", ["id", "key"]), "fps")
+        grouped = _roots(own, scratch, lambda fps: near_links(fps, rows, scratch, similarity))
+    by_fp = scratch.write(grouped.select("fp", "root"), "by_fp")
+    ranked = own.select("id", "key", "fp").join(by_fp, "fp").groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n"))
     first = ranked.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "key", "n")).alias("first"))
     keepers = first.select(F.col("first.id").alias("keeper"), F.col("first.key").alias("keeper_key"), (F.col("first.n") > 1).alias("again"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"), key.alias("key"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tarn.llm import flac, langid, line_dedup, lm_score, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, warc
 from tarn.llm.common import Scratch, shared_dir
 from tarn.llm.components import components
+from tests_llm_brute import brute_component_keepers
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -672,3 +673,49 @@ def test_cover_ranks_equal_brute_force():
         assert [g.tolist() for g in got] == [[c[t[i : i + 400]] > 1 for i in range(len(t) - 399)] for t in texts]
     diffs = {(a - b) % 16 for a in suffix_dedup.COVER for b in suffix_dedup.COVER}
     assert diffs == set(range(16))
+
+
+def near_copies():
+    """Texts of 40 to 200 words, each with copies in which some words differ."""
+    random = np.random.default_rng(5)
+    rows = []
+    for base in range(60):
+        length = int(random.integers(40, 200))
+        own = [f"w{x}" for x in random.integers(0, 3000, length)]
+        rows.append((len(rows), " ".join(own)))
+        for edits in (1, 2, 3, length // 30, length // 20):
+            changed = list(own)
+            for at in random.integers(0, length, edits):
+                changed[at] = f"v{random.integers(0, 3000)}"
+            rows.append((len(rows), " ".join(changed) if edits != 2 else " ".join(changed).upper()))
+    return rows
+
+
+def test_keep_one_by_similarity(spark):
+    rows = near_copies()
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8)
+    kept, expected = {r.doc_id for r in out.collect()}, brute_component_keepers(rows)
+    # No pair below the similarity is linked, so every group of the brute force keeps one at least.
+    assert kept >= expected and len(rows) - len(expected) > 100
+    assert len(rows) - len(kept) >= 0.95 * (len(rows) - len(expected))
+
+
+def test_keep_one_by_similarity_edges(spark):
+    long = " ".join(f"w{i * i % 9973}" for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "One  two"), (6, "one two three"), (7, long), (8, long + " end"), (None, long), (None, "four five"), (9, "same header " * 300 + "first tail of these"), (10, "same header " * 300 + "another end is here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1)).withColumn("longs", F.lit("x")).withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    out = simhash.keep_one(docs, similarity=0.8)
+    assert out.columns == docs.columns
+    assert Counter(r.doc_id for r in out.collect()) == Counter([1, 4, 6, 7, None, 9, 10])
+    assert simhash.keep_one(docs.limit(0), similarity=0.8).count() == 0
+
+
+def test_a_large_group_of_near_copies_gives_few_pairs(spark, tmp_path):
+    own = [f"w{i * i % 9973}" for i in range(300)]
+    rows = [(str(i), " ".join(own[:k] + [f"x{i}"] + own[k:])) for i in range(400) for k in [i * 7 % 300]]
+    docs = spark.createDataFrame(rows, "key string, text string")
+    fps = simhash.wide_fingerprints(docs, "text", ["key"])
+    pairs = simhash.near_links(fps, docs, Scratch(spark, "test")).collect()
+    assert 399 <= len(pairs) <= simhash.NEIGHBOURS * 64 * 400 and len(set(pairs)) == len(pairs)
+    roots = components(spark.createDataFrame([(p.a, p.b) for p in pairs], "a long, b long"), Scratch(spark, "test")).collect()
+    assert len(roots) == 400 and len({r.root for r in roots}) == 1
