@@ -57,6 +57,8 @@ NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 LONGS = 16
 NEIGHBOURS = 2
+# Parts into which the copies of one text are dealt.
+SALTS = 32
 # Standard deviations of the distance within which the shingles decide.
 DEVIATIONS = 3
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -184,8 +186,10 @@ def near_links(fps: DataFrame, texts: DataFrame, scratch: Scratch, similarity: f
     near = scratch.write(both.withColumn("apart", apart).filter(F.col("apart") <= distance).select("a", "b", "a_key", "b_key", "apart"), "near")
     open_ = near.filter(F.col("apart") > sure)
     keys = open_.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
-    # Texts under one key are the same.
-    known = scratch.write(texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "open_texts")
+    # Texts under one key are the same; many copies of one are spread over the salts before one of each is taken.
+    spread = texts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    salted = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    known = scratch.write(spread.join(salted, ["key", "salt"], "left_semi").groupBy("key").agg(F.first("text").alias("text")), "open_texts")
     for s in "ab":
         open_ = open_.join(known.select(F.col("key").alias(f"{s}_key"), F.col("text").alias(f"{s}_text")), f"{s}_key")
     return near.filter(F.col("apart") <= sure).select("a", "b").unionAll(similar_enough(open_, similarity))
