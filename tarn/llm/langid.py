@@ -71,7 +71,10 @@ class Model:
             table = self.grams.get(order, {})
             found = [table[g] for g in grams_of(word, order) if g in table]
             if found:
-                return np.mean(found, axis=0) * BACKOFF ** (ORDERS[0] + 1 - order)
+                total = found[0].copy()
+                for row in found[1:]:
+                    total += row
+                return total / len(found) * BACKOFF ** (ORDERS[0] + 1 - order)
         return np.zeros(len(self.langs))
 
     def predict(self, texts: list[str | None], cache: _Scores) -> list[tuple[str, float]]:
