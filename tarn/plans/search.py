@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -31,6 +32,8 @@ class Request:
     track_total_hits: bool = False
     interval: str | None = None
     add_time_column: bool = False
+    #: A column that names a record; put beside the time in plain queries of a stream that has it.
+    record_id: str | None = None
 
 
 class Engine:
@@ -49,18 +52,14 @@ class Engine:
             sql = sqltext.total_hits(sql)
         if request.add_time_column and len(streams) == 1 and streams[0].time_column:
             sql = sqltext.add_columns(sql, [streams[0].time_column])
+        if request.record_id and len(streams) == 1 and request.record_id in streams[0].frame.columns:
+            sql = sqltext.add_columns(sql, [request.record_id])
         return self._functions(sql, request, streams), streams
 
     def _streams(self, sql: str, kind: str) -> list[Stream]:
-        """Streams named after FROM, JOIN and commas between tables."""
-        tokens = [t for t in sqltext.tokens_of(sql) if t.kind != "space"]
+        """The streams that a query names in FROM, joins and subqueries."""
         out: list[Stream] = []
-        for i, t in enumerate(tokens):
-            if t.kind != "word" or t.upper not in ("FROM", "JOIN") or i + 1 >= len(tokens):
-                continue
-            name = tokens[i + 1].text.strip('"`')
-            if i + 3 < len(tokens) and tokens[i + 2].text == ".":
-                name = f"{name}.{tokens[i + 3].text.strip(chr(34) + '`')}"
+        for name in sqltext.relations(sql):
             try:
                 stream = self.catalog.get(name, kind)
             except KeyError:
@@ -128,14 +127,26 @@ class Engine:
     def plan(self, request: Request) -> DataFrame:
         """The query over rows in the request's time range, without the request's sort and limit."""
         sql, streams = self.rewrite(request)
+        own = sqltext.own_names(sql)
+        views: dict[str, str] = {}
         for s in streams:
             df = s.between(request.start_us, request.end_us)
             df = df.drop(*s.hidden_columns) if s.hidden_columns else df
-            df.createOrReplaceTempView(s.name if s.kind == request.kind else f"{s.kind}__{s.name}")
+            names = [s.name] if s.kind == request.kind else []
             if s.kind != request.kind or f"{s.kind}." in sql:
-                df.createOrReplaceTempView(f"{s.kind}__{s.name}")
-                sql = re.sub(rf"\b{s.kind}\s*\.\s*{re.escape(s.name)}\b", f"{s.kind}__{s.name}", sql)
-        return self.spark.sql(sql)
+                names.append(f"{s.kind}__{s.name}")
+                sql = re.sub(rf"\b{s.kind}\s*\.\s*{re.escape(s.name)}\b", names[-1], sql)
+            for name in names:
+                # A view of the request's own, so that requests of one session do not meet;
+                # a CTE named like the stream it reads needs the name itself.
+                view = name if name.lower() in own else f"request_{uuid.uuid4().hex}"
+                df.createOrReplaceTempView(view)
+                views[name] = view
+        try:
+            return self.spark.sql(sqltext.with_relations(sql, {name: view for name, view in views.items() if name != view}))
+        finally:
+            for view in views.values():
+                self.spark.catalog.dropTempView(view)
 
     # Requests
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, is_dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ DEFAULT_STEP_MS = 15_000
 #: Range queries beyond this many points per series are refused.
 MAX_POINTS = 30_000
 NAME = "__name__"
+EXEMPLARS = "exemplars"
 
 
 @dataclass
@@ -76,10 +77,20 @@ def _quantile(c: Column, q: float) -> Column:
     return F.percentile(c, F.lit(q))
 
 
+def _selectors(node) -> list[P.Selector]:
+    """The selectors of an expression, each once."""
+    if isinstance(node, P.Selector):
+        return [node]
+    out: list[P.Selector] = []
+    for part in node if isinstance(node, list) else vars(node).values() if is_dataclass(node) else ():
+        out += [s for s in _selectors(part) if s not in out]
+    return out
+
+
 class Evaluator:
     """Evaluates expressions over metric tables of label columns, a time in microseconds and a value."""
 
-    def __init__(self, spark: SparkSession, metrics: dict[str, DataFrame], start_ms: int, end_ms: int, step_ms: int, time_column: str = "_timestamp", value_column: str = "value", lookback_ms: int = LOOKBACK_MS, hidden: tuple[str, ...] = ("__hash__",)):
+    def __init__(self, spark: SparkSession, metrics: dict[str, DataFrame], start_ms: int, end_ms: int, step_ms: int, time_column: str = "_timestamp", value_column: str = "value", lookback_ms: int = LOOKBACK_MS, hidden: tuple[str, ...] = ("__hash__", EXEMPLARS)):
         if step_ms <= 0 or end_ms < start_ms:
             raise P.PromQLError("a range needs a positive step and an end after its start")
         if (end_ms - start_ms) // step_ms + 1 > MAX_POINTS:
@@ -100,6 +111,24 @@ class Evaluator:
             return grid.select("ts", self._number(out).alias("value"))
         return out.df.select(*out.labels, "ts", "value")
 
+    def exemplars(self, text: str) -> DataFrame:
+        """(series, ts, value, labels) of the exemplars between start and end, of every series that the expression's selectors take.
+
+        A metric's table holds them in the column ``exemplars``, an array of
+        structs (_timestamp, value, labels); a table without it has none. series
+        is a map of the series' labels with the metric's name.
+        """
+        out = self.spark.createDataFrame([], "series map<string,string>, ts long, value double, labels map<string,string>")
+        for s in _selectors(P.parse(text)):
+            if EXEMPLARS not in self.metrics.get(s.name, out).columns:
+                continue
+            df, labels = self._matching(s)
+            series = F.create_map(F.lit(NAME), F.lit(s.name), *[x for c in labels for x in (F.lit(c), F.col(c).cast("string"))])
+            one = df.select(series.alias("series"), F.explode(EXEMPLARS).alias("e"))
+            found = one.select("series", F.col("e._timestamp").cast("long").alias("ts"), F.col("e.value").cast("double").alias("value"), F.col("e.labels").alias("labels"))
+            out = out.unionByName(found.filter(F.col("ts").between(self.start, self.end)))
+        return out
+
     def _grid(self) -> DataFrame:
         return self.spark.range(self.points).select((F.lit(self.start) + F.col("id") * F.lit(self.step)).alias("ts"))
 
@@ -133,6 +162,12 @@ class Evaluator:
 
     def _series(self, s: P.Selector) -> Vector:
         """Samples that the selector's matchers take, without a time bound."""
+        df, labels = self._matching(s)
+        df = df.select(*[F.col(c) for c in labels], F.col(self.time).cast("long").alias("t"), F.col(self.value).cast("double").alias("v"))
+        return Vector(df, labels)
+
+    def _matching(self, s: P.Selector) -> tuple[DataFrame, list[str]]:
+        """The rows of a metric's table that the selector's matchers take, and the labels."""
         if s.name not in self.metrics:
             raise P.PromQLError(f"unknown metric {s.name!r}")
         df = self.metrics[s.name]
@@ -147,8 +182,7 @@ class Evaluator:
                 test = c == value if op in ("=", "!=") else c.rlike(f"^(?:{value})$")
                 one = one & (test if op in ("=", "=~") else ~test)
             condition = one if condition is None else condition | one
-        df = df.filter(condition).select(*[F.col(c) for c in labels], F.col(self.time).cast("long").alias("t"), F.col(self.value).cast("double").alias("v"))
-        return Vector(df, labels)
+        return df.filter(condition), labels
 
     def _windows(self, samples: Vector, span: int, offset: int) -> DataFrame:
         """Each sample with the evaluation times whose window [ts - span, ts], both ends included, holds it."""

@@ -75,3 +75,14 @@ def test_parsing():
     assert (inner.range_ms, inner.offset_ms, inner.matchers) == (5_400_000, 300_000, [("b", "=~", "c.*"), ("d", "!=", "e")])
     assert P.parse("a + b * c ^ 2").right.right.op == "^"
     assert align(7, 3_600_007, 17_000)[2] == 15_000
+
+
+def test_exemplars_of_the_selectors_within_the_range(spark):
+    e = "array<struct<_timestamp:long,value:double,labels:map<string,string>>>"
+    rows = [("a", M, 1.0, [(M, 0.5, {"trace_id": "t1"}), (9 * M, 0.7, {"trace_id": "late"})]), ("b", M, 1.0, [(2 * M, 0.6, {"trace_id": "t2"})]), ("c", M, 1.0, None)]
+    m = spark.createDataFrame(rows, f"job string, _timestamp long, value double, exemplars {e}")
+    ev = Evaluator(spark, {"m": m, "plain": m.drop("exemplars")}, 0, 300_000, 60_000)
+    got = {(r.series["job"], r.ts, r.labels["trace_id"]) for r in ev.exemplars("sum(rate(m[5m])) / on() m{job!='z'} + plain").collect()}
+    assert got == {("a", M, "t1"), ("b", 2 * M, "t2")}
+    assert {r.series["job"] for r in ev.exemplars("m{job='b'}").collect()} == {"b"} and not ev.exemplars("plain").collect()
+    assert ev.query("m{job='a'}").columns == ["job", "ts", "value"]

@@ -100,3 +100,25 @@ def test_lineage(spark):
     df = spark.sql("SELECT total + 1 AS up, c, 5 AS five FROM (SELECT c, sum(a * b) AS total FROM lin GROUP BY c)")
     assert lineage(df) == {"up": {"a", "b"}, "c": {"c"}, "five": set()}
     assert lineage(spark.sql("SELECT a AS x FROM lin UNION ALL SELECT b FROM lin"))["x"] == {"a", "b"}
+
+
+def test_relations():
+    assert q.relations("SELECT a.x, b.y FROM a, b AS c JOIN d ON f(a.x, 1) = 2 WHERE x IN (SELECT y, z FROM e, metrics.f) ORDER BY p, q") == ["a", "b", "d", "e", "metrics.f"]
+    assert q.with_relations("WITH RECURSIVE t AS (SELECT 1) SELECT * FROM t, app", {"app": "v"}) == "WITH RECURSIVE `app` AS (SELECT * FROM `v`), t AS (SELECT 1) SELECT * FROM t, app"
+
+
+def test_requests_of_one_session_do_not_meet(engine):
+    start = 1_700_000_000_000_000
+    first = engine.plan(Request("SELECT count(*) AS c FROM app", start, start + 60_000_000))
+    second = engine.plan(Request("WITH x AS (SELECT n FROM app) SELECT a.n FROM x a, app b WHERE a.n = b.n AND a.n < 3 ORDER BY a.n DESC"))
+    assert first.first().c == 1 and [r.n for r in second.collect()] == [2, 1, 0]
+    shadowed = engine.plan(Request("WITH app AS (SELECT n + 100 AS n FROM app) SELECT min(n) AS n FROM app"))
+    assert shadowed.first().n == 100
+    assert not [t for t in engine.spark.catalog.listTables() if t.name == "app" or t.name.startswith("request_")]
+
+
+def test_record_id_beside_plain_rows(engine):
+    sql = "SELECT log FROM app"
+    assert engine.plan(Request(sql, record_id="n")).columns == ["n", "log"]
+    assert engine.plan(Request(sql, record_id="nothing")).columns == ["log"]
+    assert engine.plan(Request("SELECT count(*) AS c FROM app", record_id="n")).columns == ["c"]
