@@ -218,12 +218,15 @@ class Evaluator:
 
     # Functions
 
-    def _over_time(self, node, agg: Callable[[int], Column], neighbours: bool = False) -> Vector:
-        """Aggregate the samples of every window; with ``neighbours`` each sample has its predecessor as pt, pv."""
+    def _over_time(self, node, agg: Callable[[int], Column], neighbours: bool = False, total: bool = False) -> Vector:
+        """Aggregate the samples of every window; with ``neighbours`` each sample has its predecessor as pt, pv; with ``total`` its window's sum as __total.
+
+        Sums of doubles depend on their order, so that of a window is taken in the order of time.
+        """
         if isinstance(node, P.Selector) and node.at_ms is not None:
             # One window at a fixed time, whose result holds at every evaluation time.
             fixed = Evaluator(self.spark, self.metrics, node.at_ms, node.at_ms, 1, self.time, self.value, self.lookback // 1000, self.hidden)
-            once = fixed._over_time(replace(node, at_ms=None), agg, neighbours)
+            once = fixed._over_time(replace(node, at_ms=None), agg, neighbours, total)
             times = F.explode(F.sequence(F.lit(self.start), F.lit(self.end), F.lit(self.step)))
             return Vector(once.df.withColumn("ts", times), once.labels)
         samples, span, offset = self._range(node)
@@ -239,6 +242,9 @@ class Evaluator:
         if neighbours:
             inside = F.col("pt") >= F.col("low")
             held = held.withColumn("pv", F.when(inside, F.col("pv"))).withColumn("pt", F.when(inside, F.col("pt")))
+        if total:
+            whole = Window.partitionBy(*samples.labels, "ts").orderBy("t", "v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            held = held.withColumn("__total", F.sum("v").over(whole))
         out = held.groupBy(*samples.labels, "ts").agg(agg(span).alias("value")).filter(F.col("value").isNotNull())
         return Vector(out, samples.labels)
 
@@ -288,7 +294,7 @@ class Evaluator:
         v, pv, t = F.col("v"), F.col("pv"), F.col("t")
         simple: dict[str, Callable[[int], Column]] = {
             "avg_over_time": lambda s: F.avg(v),
-            "sum_over_time": lambda s: F.sum(v),
+            "sum_over_time": lambda s: F.max("__total"),
             "count_over_time": lambda s: F.count(F.lit(1)).cast("double"),
             "min_over_time": lambda s: _low_nan(F.min, v, True),
             "max_over_time": lambda s: _low_nan(F.max, v, False),
@@ -308,7 +314,7 @@ class Evaluator:
             "irate": lambda s: F.max_by(F.when(t == F.col("pt"), 0.0).otherwise(F.try_divide(F.when(v < pv, v).otherwise(v - pv), (t - F.col("pt")).cast("double") / 1e6)), t),
         }
         if name in simple:
-            return self._over_time(args[0], simple[name])
+            return self._over_time(args[0], simple[name], total=name == "sum_over_time")
         if name in paired:
             return self._over_time(args[0], paired[name], neighbours=True)
         if name == "quantile_over_time":

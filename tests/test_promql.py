@@ -86,3 +86,15 @@ def test_exemplars_of_the_selectors_within_the_range(spark):
     assert got == {("a", M, "t1"), ("b", 2 * M, "t2")}
     assert {r.series["job"] for r in ev.exemplars("m{job='b'}").collect()} == {"b"} and not ev.exemplars("plain").collect()
     assert ev.query("m{job='a'}").columns == ["job", "ts", "value"]
+
+
+# A sample, then 1e16 and -1e16: in the order of time the first is rounded to an even number, in the order of the rows it is not.
+IN_ORDER = [("({} ^ 2 + 3) % 7", 2.5, 0.0)]
+
+
+@pytest.mark.parametrize(("text", "first", "expected"), IN_ORDER)
+def test_sum_over_time_adds_in_the_order_of_time(spark, text, first, expected):
+    rows = [("x", 3 * M, -1e16), ("x", 2 * M, 1e16), ("x", M, first)]
+    m = spark.createDataFrame(rows, "job string, _timestamp long, value double").coalesce(1)
+    out = Evaluator(spark, {"m": m}, 300_000, 300_000, 60_000).query(text.format("sum_over_time(m[5m])")).collect()
+    assert [r["value"] for r in out] == [expected]
