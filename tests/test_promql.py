@@ -89,7 +89,7 @@ def test_exemplars_of_the_selectors_within_the_range(spark):
 
 
 # A sample, then 1e16 and -1e16: in the order of time the first is rounded to an even number, in the order of the rows it is not.
-IN_ORDER = [("({} ^ 2 + 3) % 7", 2.5, 0.0), ("ceil({})", 2.5, 2.0), ("floor({})", 3.7, 4.0)]
+IN_ORDER = [("({} ^ 2 + 3) % 7", 2.5, 0.0), ("ceil({})", 2.5, 2.0), ("floor({})", 3.7, 4.0), ("round({})", 2.5, 2.0)]
 
 
 @pytest.mark.parametrize(("text", "first", "expected"), IN_ORDER)
