@@ -19,9 +19,17 @@ deviation of about 11 bits: pairs beyond three of them are not near, pairs that
 much nearer are near, and those between are settled by their shingles. Texts that agree in a segment are sorted by the 64 bits that
 start there; each is compared with the next ones in that order, first by the
 budgets of the chains of these four segments, then by all bits. So a group of
-near copies costs rows in proportion to its size, whatever that is. The search
-is not complete: a pair is missed if at every segment where it agrees other
-texts lie between or a chain is over its budget.
+near copies costs rows in proportion to its size, whatever that is. This search
+alone is not complete: a pair is missed if at every segment where it agrees
+other texts lie between or a chain is over its budget.
+
+What it leaves is found exactly. Two sets of that similarity share one of the
+least hashes of each, a fifth of them at 0.8. Texts of different components
+that meet there are compared, by sizes and places, by the parities of their
+hashes on 1024 places (each that differs takes a shingle that only one has), by
+what the least hashes leave possible, and at last by all their shingles; components with such a pair
+are joined. Texts of one component are not compared again, so a group of near
+copies that the first search has joined costs no pairs.
 
 Defined results: a null text or one without words has fingerprint zero and is
 linked like any other; fewer words than a shingle make one shingle of all;
@@ -59,6 +67,8 @@ LONGS = 16
 NEIGHBOURS = 2
 # Parts into which the copies of one text are dealt.
 SALTS = 32
+# Members of one root under a hash, beyond which they are not compared with each other even to be told apart.
+LARGE = 64
 # Standard deviations of the distance within which the shingles decide.
 DEVIATIONS = 3
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -108,9 +118,8 @@ def shingle_hashes(text: bytes | None, shingle: int = NEAR_SHINGLE) -> np.ndarra
     return np.unique(hashes)
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """The SimHash of a UTF-8 text's distinct shingles in LONGS signed longs, zero for a text without words."""
-    hashes = shingle_hashes(text, shingle)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of distinct shingles in LONGS signed longs, zero for a text without words."""
     counts = np.zeros(64 * LONGS, dtype=np.int64)
     for i in range(0, len(hashes), _BLOCK):
         block = _mix(hashes[i : i + _BLOCK, None] + _STREAMS)
@@ -127,13 +136,37 @@ def fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | Non
     return map_rows(docs, text_col, T.StructType([T.StructField("fp", T.LongType())]), batch, carry)
 
 
-def wide_fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """docs with ``longs``, the wide fingerprint, and ``fp``, a 64-bit hash of it that names it."""
+def head_length(n: int, similarity: float) -> int:
+    """So many of the least of n hashes meet those of any set that is so similar: all but what the two must share, and one."""
+    return n - math.ceil(similarity * n - 1e-6) + 1 if n else 0
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes falls on each of 64 LONGS places, in signed longs."""
+    at = np.bincount((hashes % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS)
+    return np.packbits((at & 1).astype(np.uint8)).view(np.int64)
+
+
+def wide_fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with ``longs``, the wide fingerprint, and ``fp``, a 64-bit hash of it that names it.
+
+    Of the set of shingles, ``n`` is the size, ``parity`` has the parities,
+    ``head`` the least hashes, and ``name`` is a 64-bit hash of all.
+    """
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
 
     def batch(texts: list) -> dict[str, list]:
-        return {"longs": [wide_fingerprint(t, shingle) for t in texts]}
+        hashes = [shingle_hashes(t, shingle) for t in texts]
+        return {
+            "longs": [wide_fingerprint(h) for h in hashes],
+            "n": [len(h) for h in hashes],
+            "parity": [parities(h) for h in hashes],
+            "head": [h[: head_length(len(h), similarity)].view(np.int64) for h in hashes],
+            "name": np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes], dtype=np.uint64).view(np.int64),
+        }
 
-    return map_rows(docs, text_col, T.StructType([T.StructField("longs", T.ArrayType(T.LongType()))]), batch, carry).withColumn("fp", F.xxhash64("longs"))
+    fields = T.StructType([T.StructField("longs", longs), T.StructField("n", long), T.StructField("parity", longs), T.StructField("head", longs), T.StructField("name", long)])
+    return map_rows(docs, text_col, fields, batch, carry).withColumn("fp", F.xxhash64("longs"))
 
 
 def bits_apart(similarity: float, deviations: float = 0) -> int:
@@ -185,14 +218,71 @@ def near_links(fps: DataFrame, texts: DataFrame, scratch: Scratch, similarity: f
     apart = reduce(add, [_differ(F.get("a_longs", F.lit(i)), F.get("b_longs", F.lit(i))) for i in range(LONGS)])
     near = scratch.write(both.withColumn("apart", apart).filter(F.col("apart") <= distance).select("a", "b", "a_key", "b_key", "apart"), "near")
     open_ = near.filter(F.col("apart") > sure)
-    keys = open_.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
+    return near.filter(F.col("apart") <= sure).select("a", "b").unionAll(similar_enough(_with_texts(open_, texts, scratch, "open_texts"), similarity))
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """pairs with a_text and b_text of a_key and b_key; texts has (key, text)."""
+    keys = pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
     # Texts under one key are the same; many copies of one are spread over the salts before one of each is taken.
     spread = texts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     salted = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    known = scratch.write(spread.join(salted, ["key", "salt"], "left_semi").groupBy("key").agg(F.first("text").alias("text")), "open_texts")
+    known = scratch.write(spread.join(salted, ["key", "salt"], "left_semi").groupBy("key").agg(F.first("text").alias("text")), name)
+    for s in "ab":
+        pairs = pairs.join(known.select(F.col("key").alias(f"{s}_key"), F.col("text").alias(f"{s}_text")), f"{s}_key")
+    return pairs
+
+
+def _may_be_near(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The rows of pairs (a_root, b_root, a_key, b_key, a_n, b_n, a_head, b_head) whose heads leave that similarity possible, as the first four."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(*[batch.column(i).to_pylist() for i in (4, 5)], *[batch.column(i) for i in (6, 7)]):
+                one, other = (np.asarray(h.values, dtype=np.int64).view(np.uint64) for h in (x, y))
+                # Up to the lesser of the last hashes both sets are known.
+                end = min(one[-1], other[-1])
+                one, other = one[: np.searchsorted(one, end, "right")], other[: np.searchsorted(other, end, "right")]
+                most = len(np.intersect1d(one, other, assume_unique=True)) + min(m - len(one), n - len(other))
+                keep.append((1 + similarity) * most >= similarity * (m + n) - 1e-6)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a_root", "b_root", "a_key", "b_key", "a_n", "b_n", "a_head", "b_head").mapInArrow(run, "a_root long, b_root long, a_key string, b_key string")
+
+
+def links_left(sets: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of different roots under which two texts have that similarity: all of them.
+
+    sets has (name, root, n, parity, head, key) per distinct set of shingles, texts has (key, text).
+    """
+    places = sets.select("name", "root", "n", "parity", F.posexplode("head").alias("pos", "hash"))
+    met = Window.partitionBy("hash")
+    places = places.withColumn("least", F.min("root").over(met)).withColumn("most", F.max("root").over(met))
+    mixed = scratch.write(places.filter("least <> most").drop("least", "most"), "mixed")
+    large = mixed.groupBy("hash", "root").count().filter(F.col("count") > LARGE).select("hash", "root")
+    few, many = mixed.join(large, ["hash", "root"], "left_anti"), mixed.join(large, ["hash", "root"], "left_semi")
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in ("name", "root", "n", "pos", "parity")])
+
+    # If the first hash that both have is at these places, they share no more than what comes from there on;
+    # and one of them alone has at least as many shingles as parities differ.
+    both = F.col("a_n") + F.col("b_n")
+    shared = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    apart = reduce(add, [_differ(F.get("a_parity", F.lit(i)), F.get("b_parity", F.lit(i))) for i in range(LONGS)])
+    can = (shared * F.lit(1 + similarity) >= F.lit(similarity) * both - F.lit(1e-6)) & (apart * F.lit(1 + similarity) <= F.lit(1 - similarity) * both + F.lit(1e-6))
+    # Many members of one root meet the other such roots under a hash before the members of these, so they make no pairs among themselves.
+    some = side(few, "a").join(side(few, "b"), "hash").filter((F.col("a_root") < F.col("b_root")) & can)
+    mix = side(few, "a").join(side(many, "b"), "hash").filter(can)
+    ways = side(many, "a").join(large.withColumnRenamed("root", "b_root"), "hash").filter("a_root < b_root").join(side(many, "b"), ["hash", "b_root"]).filter(can)
+    pairs = reduce(DataFrame.unionAll, [x.select("a_name", "b_name") for x in (some, mix, ways)]).distinct()
+    pairs = scratch.write(pairs, "pairs_left")
     for s in "ab":
-        open_ = open_.join(known.select(F.col("key").alias(f"{s}_key"), F.col("text").alias(f"{s}_text")), f"{s}_key")
-    return near.filter(F.col("apart") <= sure).select("a", "b").unionAll(similar_enough(open_, similarity))
+        pairs = pairs.join(sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("name", "root", "n", "head", "key")]), f"{s}_name")
+    likely = scratch.write(_may_be_near(pairs, similarity), "likely")
+    named = _with_texts(likely.withColumnsRenamed({"a_root": "a", "b_root": "b"}), texts, scratch, "likely_texts")
+    return similar_enough(named, similarity).distinct()
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -263,8 +353,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         own = scratch.write(fingerprints(rows, "text", ["id", "key"]), "fps")
         grouped = _roots(own, scratch)
     else:
-        own = scratch.write(wide_fingerprints(rows, "text", ["id", "key"]), "fps")
-        grouped = _roots(own, scratch, lambda fps: near_links(fps, rows, scratch, similarity))
+        own = scratch.write(wide_fingerprints(rows, "text", ["id", "key"], similarity=similarity), "fps")
+        found = scratch.write(_roots(own, scratch, lambda fps: near_links(fps, rows, scratch, similarity)).select("fp", "root"), "found")
+        sets = own.groupBy("name").agg(*[F.first(c).alias(c) for c in ("fp", "n", "parity", "head")], F.min("key").alias("key"))
+        left = links_left(scratch.write(sets.join(found, "fp").drop("fp"), "sets"), rows, scratch, similarity)
+        joined = components(left, scratch).withColumnRenamed("root", "whole")
+        grouped = found.join(joined, found["root"] == joined["id"], "left").select("fp", F.coalesce("whole", "root").alias("root"))
     by_fp = scratch.write(grouped.select("fp", "root"), "by_fp")
     ranked = own.select("id", "key", "fp").join(by_fp, "fp").groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n"))
     first = ranked.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "key", "n")).alias("first"))

@@ -700,6 +700,25 @@ def test_keep_one_by_similarity(spark):
     assert len(rows) - len(kept) >= 0.95 * (len(rows) - len(expected))
 
 
+@pytest.mark.parametrize("large", [3, 64])
+def test_keep_one_by_similarity_loses_no_link(spark, monkeypatch, large):
+    """Few shingles, for which bits say little; and a group of near copies with others right at the similarity."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    texts = [t for _, t in near_copies()[:120]]
+    for i in range(30):
+        own = [f"p{i}x{k}" for k in range(9)]
+        texts += [" ".join(own[:8]), " ".join(own)]
+    for base in "gh":
+        own = [f"{base}{k}" for k in range(104)]
+        texts += [" ".join([*own[:50], f"{base}{i}y", *own[51:]]) for i in range(40)]
+        # 80 of 100 shingles, and of 101.
+        texts += [" ".join(own[:84]), " ".join([*own[:84], *[f"{base}z{k}" for k in range(21)]])]
+    texts += [" ".join(f"g{k}" for k in range(40)) + f" only {i} of these" + " ".join(f" o{i}x{k}" for k in range(40)) for i in range(20)]
+    rows = list(enumerate(texts))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()}
+    assert kept == brute_component_keepers(rows)
+
+
 def test_keep_one_by_similarity_edges(spark):
     long = " ".join(f"w{i * i % 9973}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "One  two"), (6, "one two three"), (7, long), (8, long + " end"), (None, long), (None, "four five"), (9, "same header " * 300 + "first tail of these"), (10, "same header " * 300 + "another end is here")]
