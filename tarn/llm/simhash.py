@@ -71,6 +71,8 @@ SALTS = 32
 LARGE = 64
 # Standard deviations of the distance within which the shingles decide.
 DEVIATIONS = 3
+# Longs of the parities that rows carry into the join.
+_FOLDED = 4
 _GOLDEN = 0x9E3779B97F4A7C15
 _STREAMS = np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(_GOLDEN)
 # Shingles counted at once; a byte holds the count.
@@ -256,30 +258,39 @@ def links_left(sets: DataFrame, texts: DataFrame, scratch: Scratch, similarity:
 
     sets has (name, root, n, parity, head, key) per distinct set of shingles, texts has (key, text).
     """
-    places = sets.select("name", "root", "n", "parity", F.posexplode("head").alias("pos", "hash"))
+    places = sets.select("name", "root", F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "hash"))
     met = Window.partitionBy("hash")
     places = places.withColumn("least", F.min("root").over(met)).withColumn("most", F.max("root").over(met))
     mixed = scratch.write(places.filter("least <> most").drop("least", "most"), "mixed")
+    # Parities on a quarter of the places are those of all, folded.
+    fold = [reduce(Column.bitwiseXOR, [F.get("parity", F.lit(i)) for i in range(k, LONGS, _FOLDED)]).alias(f"p{k}") for k in range(_FOLDED)]
+    mixed = scratch.write(mixed.join(sets.select("name", *fold), "name"), "folded")
     large = mixed.groupBy("hash", "root").count().filter(F.col("count") > LARGE).select("hash", "root")
     few, many = mixed.join(large, ["hash", "root"], "left_anti"), mixed.join(large, ["hash", "root"], "left_semi")
 
     def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in ("name", "root", "n", "pos", "parity")])
+        return rows.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in ("name", "root", "n", "pos", *[f"p{k}" for k in range(_FOLDED)])])
 
     # If the first hash that both have is at these places, they share no more than what comes from there on;
     # and one of them alone has at least as many shingles as parities differ.
     both = F.col("a_n") + F.col("b_n")
     shared = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    apart = reduce(add, [_differ(F.get("a_parity", F.lit(i)), F.get("b_parity", F.lit(i))) for i in range(LONGS)])
-    can = (shared * F.lit(1 + similarity) >= F.lit(similarity) * both - F.lit(1e-6)) & (apart * F.lit(1 + similarity) <= F.lit(1 - similarity) * both + F.lit(1e-6))
+    alone = F.lit(1 - similarity) * both + F.lit(1e-6)
+    apart = reduce(add, [_differ(F.col(f"a_p{k}"), F.col(f"b_p{k}")) for k in range(_FOLDED)])
+    can = (shared * F.lit(1 + similarity) >= F.lit(similarity) * both - F.lit(1e-6)) & (apart * F.lit(1 + similarity) <= alone)
     # Many members of one root meet the other such roots under a hash before the members of these, so they make no pairs among themselves.
     some = side(few, "a").join(side(few, "b"), "hash").filter((F.col("a_root") < F.col("b_root")) & can)
     mix = side(few, "a").join(side(many, "b"), "hash").filter(can)
     ways = side(many, "a").join(large.withColumnRenamed("root", "b_root"), "hash").filter("a_root < b_root").join(side(many, "b"), ["hash", "b_root"]).filter(can)
     pairs = reduce(DataFrame.unionAll, [x.select("a_name", "b_name") for x in (some, mix, ways)]).distinct()
     pairs = scratch.write(pairs, "pairs_left")
+    # All parities settle most pairs before their heads are joined.
+    apart = reduce(add, [_differ(F.get("a_parity", F.lit(i)), F.get("b_parity", F.lit(i))) for i in range(LONGS)])
+    for s in "ab":
+        pairs = pairs.join(sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("name", "root", "n", "parity", "key")]), f"{s}_name")
+    pairs = scratch.write(pairs.filter(apart * F.lit(1 + similarity) <= alone).drop("a_parity", "b_parity"), "pairs_open")
     for s in "ab":
-        pairs = pairs.join(sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("name", "root", "n", "head", "key")]), f"{s}_name")
+        pairs = pairs.join(sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("name", "head")]), f"{s}_name")
     likely = scratch.write(_may_be_near(pairs, similarity), "likely")
     named = _with_texts(likely.withColumnsRenamed({"a_root": "a", "b_root": "b"}), texts, scratch, "likely_texts")
     return similar_enough(named, similarity).distinct()
