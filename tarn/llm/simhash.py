@@ -23,13 +23,18 @@ near copies costs rows in proportion to its size, whatever that is. This search
 alone is not complete: a pair is missed if at every segment where it agrees
 other texts lie between or a chain is over its budget.
 
-What it leaves is found exactly. Two sets of that similarity share one of the
-least hashes of each, a fifth of them at 0.8. Texts of different components
-that meet there are compared, by sizes and places, by the parities of their
-hashes on 1024 places (each that differs takes a shingle that only one has), by
-what the least hashes leave possible, and at last by all their shingles; components with such a pair
-are joined. Texts of one component are not compared again, so a group of near
-copies that the first search has joined costs no pairs.
+What it leaves is found exactly. Of two sets of that similarity, each has at
+most a fifth (at 0.8) of hashes that the other lacks. So among the least three
+tenths of a text's hashes a tenth is also among those of the other text. Only
+texts of which so many hashes are met in other components go on, then only
+those of which four fifths of all hashes are. Their hashes are ordered from
+the rarest on, those met in one component first; two such sets share one
+of the first fifth of each. Texts of different components that meet there are
+compared by sizes and places, by the parities of their hashes on 1024 places
+(each that differs takes a shingle that only one has), and at last by all their
+hashes; components with such a pair are joined. Texts of one component are not
+compared again, so a group of near copies that the first search has joined
+costs no pairs.
 
 Defined results: a null text or one without words has fingerprint zero and is
 linked like any other; fewer words than a shingle make one shingle of all;
@@ -71,8 +76,8 @@ SALTS = 32
 LARGE = 64
 # Standard deviations of the distance within which the shingles decide.
 DEVIATIONS = 3
-# Longs of the parities that rows carry into the join.
-_FOLDED = 4
+# Share of a set's hashes that two heads of near sets have in common.
+COMMON = 0.1
 _GOLDEN = 0x9E3779B97F4A7C15
 _STREAMS = np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(_GOLDEN)
 # Shingles counted at once; a byte holds the count.
@@ -138,9 +143,18 @@ def fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | Non
     return map_rows(docs, text_col, T.StructType([T.StructField("fp", T.LongType())]), batch, carry)
 
 
+def needed(n: int, similarity: float) -> int:
+    """So many of n hashes does any set share that is so similar."""
+    return math.ceil(similarity * n - 1e-6)
+
+
+def common_length(n: int) -> int:
+    return max(math.ceil(COMMON * n), 1)
+
+
 def head_length(n: int, similarity: float) -> int:
-    """So many of the least of n hashes meet those of any set that is so similar: all but what the two must share, and one."""
-    return n - math.ceil(similarity * n - 1e-6) + 1 if n else 0
+    """Of so many of the least of n hashes, common_length are shared with any set that is so similar: all but what the two must share, and these."""
+    return n - needed(n, similarity) + common_length(n) if n else 0
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -152,8 +166,9 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 def wide_fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with ``longs``, the wide fingerprint, and ``fp``, a 64-bit hash of it that names it.
 
-    Of the set of shingles, ``n`` is the size, ``parity`` has the parities,
-    ``head`` the least hashes, and ``name`` is a 64-bit hash of all.
+    Of the set of shingles, ``head`` has the least hashes, ``common`` is how
+    many of them are in the head of any set that is so similar, whatever its
+    size, and ``name`` is a 64-bit hash of all.
     """
     long, longs = T.LongType(), T.ArrayType(T.LongType())
 
@@ -161,16 +176,26 @@ def wide_fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str]
         hashes = [shingle_hashes(t, shingle) for t in texts]
         return {
             "longs": [wide_fingerprint(h) for h in hashes],
-            "n": [len(h) for h in hashes],
-            "parity": [parities(h) for h in hashes],
             "head": [h[: head_length(len(h), similarity)].view(np.int64) for h in hashes],
+            "common": [common_length(needed(len(h), similarity)) for h in hashes],
             "name": np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes], dtype=np.uint64).view(np.int64),
         }
 
-    fields = T.StructType([T.StructField("longs", longs), T.StructField("n", long), T.StructField("parity", longs), T.StructField("head", longs), T.StructField("name", long)])
+    fields = T.StructType([T.StructField("longs", longs), T.StructField("head", longs), T.StructField("common", long), T.StructField("name", long)])
     return map_rows(docs, text_col, fields, batch, carry).withColumn("fp", F.xxhash64("longs"))
 
 
+def whole_sets(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """docs with ``hashes``, those of all distinct shingles, ``n``, their number, and ``parity``, their parities."""
+
+    def batch(texts: list) -> dict[str, list]:
+        hashes = [shingle_hashes(t, shingle) for t in texts]
+        return {"n": [len(h) for h in hashes], "parity": [parities(h) for h in hashes], "hashes": [h.view(np.int64) for h in hashes]}
+
+    longs = T.ArrayType(T.LongType())
+    return map_rows(docs, text_col, T.StructType([T.StructField("n", T.LongType()), T.StructField("parity", longs), T.StructField("hashes", longs)]), batch, carry)
+
+
 def bits_apart(similarity: float, deviations: float = 0) -> int:
     """The distance expected of wide fingerprints of two sets with this Jaccard similarity, and so many standard deviations more."""
     share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * LONGS
@@ -223,60 +248,74 @@ def near_links(fps: DataFrame, texts: DataFrame, scratch: Scratch, similarity: f
     return near.filter(F.col("apart") <= sure).select("a", "b").unionAll(similar_enough(_with_texts(open_, texts, scratch, "open_texts"), similarity))
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """pairs with a_text and b_text of a_key and b_key; texts has (key, text)."""
-    keys = pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
+def _texts_of(keys: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(key, text) of the distinct keys (key); texts has (key, text)."""
     # Texts under one key are the same; many copies of one are spread over the salts before one of each is taken.
     spread = texts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     salted = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    known = scratch.write(spread.join(salted, ["key", "salt"], "left_semi").groupBy("key").agg(F.first("text").alias("text")), name)
+    return scratch.write(spread.join(salted, ["key", "salt"], "left_semi").groupBy("key").agg(F.first("text").alias("text")), name)
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """pairs with a_text and b_text of a_key and b_key; texts has (key, text)."""
+    known = _texts_of(pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct(), texts, scratch, name)
     for s in "ab":
         pairs = pairs.join(known.select(F.col("key").alias(f"{s}_key"), F.col("text").alias(f"{s}_text")), f"{s}_key")
     return pairs
 
 
-def _may_be_near(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The rows of pairs (a_root, b_root, a_key, b_key, a_n, b_n, a_head, b_head) whose heads leave that similarity possible, as the first four."""
+def _met_elsewhere(places: DataFrame, root: Column) -> DataFrame:
+    """The rows of places (hash, ...) whose hash is met under several roots, with ``met``, the rows with that hash."""
+    same = Window.partitionBy("hash")
+    ranged = places.withColumns({"least": F.min(root).over(same), "most": F.max(root).over(same), "met": F.count(F.lit(1)).over(same)})
+    return ranged.filter("least <> most").drop("least", "most")
+
+
+def sets_left(sets: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+    """(name, root, n, parity, hashes) of those of sets (name, fp, root, common, head, key) whose heads leave a near set of another root possible."""
+    # Most sets are their own root, which rows then need not carry. Sets that share a fingerprint are counted together: that drops none.
+    places = sets.select("fp", F.when(F.col("root") != F.col("fp"), F.col("root")).alias("root"), F.explode("head").alias("hash"))
+    counts = _met_elsewhere(places, F.coalesce("root", "fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("shared"))
+    live = scratch.write(sets.select("name", "fp", "root", "common", "key").join(counts, "fp").filter("shared >= common").select("name", "root", "key"), "live")
+    known = _texts_of(live.select("key").distinct(), texts, scratch, "live_texts")
+    return scratch.write(whole_sets(live.join(known, "key"), "text", ["name", "root"]).drop("text"), "whole")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for m, n, x, y in zip(*[batch.column(i).to_pylist() for i in (4, 5)], *[batch.column(i) for i in (6, 7)]):
-                one, other = (np.asarray(h.values, dtype=np.int64).view(np.uint64) for h in (x, y))
-                # Up to the lesser of the last hashes both sets are known.
-                end = min(one[-1], other[-1])
-                one, other = one[: np.searchsorted(one, end, "right")], other[: np.searchsorted(other, end, "right")]
-                most = len(np.intersect1d(one, other, assume_unique=True)) + min(m - len(one), n - len(other))
-                keep.append((1 + similarity) * most >= similarity * (m + n) - 1e-6)
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a_root", "b_root", "a_key", "b_key", "a_n", "b_n", "a_head", "b_head").mapInArrow(run, "a_root long, b_root long, a_key string, b_key string")
+def first_places(whole: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+    """(hash, name, root, n, pos) of the hashes, rarest first, of which near sets of different roots share one."""
+    needed_ = F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-6))
+    mixed = scratch.write(_met_elsewhere(whole.select("name", "root", "n", F.explode("hashes").alias("hash")), F.col("root")).drop("met"), "mixed")
+    enough = mixed.groupBy("name", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= needed_).select("name")
+    # Among the texts that are left hashes are rarer. Those met under one root come first: they take places, but no rows.
+    by_name = Window.partitionBy("name")
+    placed = _met_elsewhere(mixed.join(enough, "name", "left_semi"), F.col("root")).withColumns({
+        "pos": F.row_number().over(by_name.orderBy("met", "hash")), "shared": F.count(F.lit(1)).over(by_name)
+    })
+    pos = F.col("n") - F.col("shared") + F.col("pos") - 1
+    return scratch.write(placed.withColumn("pos", pos).filter((F.col("shared") >= needed_) & (F.col("pos") <= F.col("n") - needed_)).select("hash", "name", "root", "n", "pos"), "places")
 
 
 def links_left(sets: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of different roots under which two texts have that similarity: all of them.
 
-    sets has (name, root, n, parity, head, key) per distinct set of shingles, texts has (key, text).
+    sets has (name, fp, root, common, head, key) per distinct set of shingles, texts has (key, text).
     """
-    places = sets.select("name", "root", F.col("n").cast("int").alias("n"), F.posexplode("head").alias("pos", "hash"))
-    met = Window.partitionBy("hash")
-    places = places.withColumn("least", F.min("root").over(met)).withColumn("most", F.max("root").over(met))
-    mixed = scratch.write(places.filter("least <> most").drop("least", "most"), "mixed")
-    # Parities on a quarter of the places are those of all, folded.
-    fold = [reduce(Column.bitwiseXOR, [F.get("parity", F.lit(i)) for i in range(k, LONGS, _FOLDED)]).alias(f"p{k}") for k in range(_FOLDED)]
-    mixed = scratch.write(mixed.join(sets.select("name", *fold), "name"), "folded")
-    large = mixed.groupBy("hash", "root").count().filter(F.col("count") > LARGE).select("hash", "root")
-    few, many = mixed.join(large, ["hash", "root"], "left_anti"), mixed.join(large, ["hash", "root"], "left_semi")
+    whole = sets_left(sets, texts, scratch, similarity)
+    places = first_places(whole, scratch, similarity)
+    scratch.drop("live", "live_texts", "mixed")
+    places = scratch.write(places.join(whole.select("name", "parity"), "name"), "with_parity")
+    large = places.groupBy("hash", "root").count().filter(F.col("count") > LARGE).select("hash", "root")
+    few, many = places.join(large, ["hash", "root"], "left_anti"), places.join(large, ["hash", "root"], "left_semi")
 
     def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in ("name", "root", "n", "pos", *[f"p{k}" for k in range(_FOLDED)])])
+        return rows.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in ("name", "root", "n", "pos", "parity")])
 
     # If the first hash that both have is at these places, they share no more than what comes from there on;
     # and one of them alone has at least as many shingles as parities differ.
     both = F.col("a_n") + F.col("b_n")
     shared = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     alone = F.lit(1 - similarity) * both + F.lit(1e-6)
-    apart = reduce(add, [_differ(F.col(f"a_p{k}"), F.col(f"b_p{k}")) for k in range(_FOLDED)])
+    apart = reduce(add, [_differ(F.get("a_parity", F.lit(i)), F.get("b_parity", F.lit(i))) for i in range(LONGS)])
     can = (shared * F.lit(1 + similarity) >= F.lit(similarity) * both - F.lit(1e-6)) & (apart * F.lit(1 + similarity) <= alone)
     # Many members of one root meet the other such roots under a hash before the members of these, so they make no pairs among themselves.
     some = side(few, "a").join(side(few, "b"), "hash").filter((F.col("a_root") < F.col("b_root")) & can)
@@ -284,16 +323,12 @@ def links_left(sets: DataFrame, texts: DataFrame, scratch: Scratch, similarity:
     ways = side(many, "a").join(large.withColumnRenamed("root", "b_root"), "hash").filter("a_root < b_root").join(side(many, "b"), ["hash", "b_root"]).filter(can)
     pairs = reduce(DataFrame.unionAll, [x.select("a_name", "b_name") for x in (some, mix, ways)]).distinct()
     pairs = scratch.write(pairs, "pairs_left")
-    # All parities settle most pairs before their heads are joined.
-    apart = reduce(add, [_differ(F.get("a_parity", F.lit(i)), F.get("b_parity", F.lit(i))) for i in range(LONGS)])
-    for s in "ab":
-        pairs = pairs.join(sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("name", "root", "n", "parity", "key")]), f"{s}_name")
-    pairs = scratch.write(pairs.filter(apart * F.lit(1 + similarity) <= alone).drop("a_parity", "b_parity"), "pairs_open")
     for s in "ab":
-        pairs = pairs.join(sets.select(*[F.col(c).alias(f"{s}_{c}") for c in ("name", "head")]), f"{s}_name")
-    likely = scratch.write(_may_be_near(pairs, similarity), "likely")
-    named = _with_texts(likely.withColumnsRenamed({"a_root": "a", "b_root": "b"}), texts, scratch, "likely_texts")
-    return similar_enough(named, similarity).distinct()
+        pairs = pairs.join(whole.select(*[F.col(c).alias(f"{s}_{c}") for c in ("name", "hashes")], F.col("root").alias(s), F.col("n").alias(f"{s}_n")), f"{s}_name")
+    pairs = pairs.withColumn("both", F.size(F.array_intersect("a_hashes", "b_hashes")))
+    left = scratch.write(pairs.filter(F.col("both") >= F.lit(similarity) * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("a", "b").distinct(), "left")
+    scratch.drop("places", "with_parity", "whole", "pairs_left")
+    return left
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -364,13 +399,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         own = scratch.write(fingerprints(rows, "text", ["id", "key"]), "fps")
         grouped = _roots(own, scratch)
     else:
-        own = scratch.write(wide_fingerprints(rows, "text", ["id", "key"], similarity=similarity), "fps")
-        found = scratch.write(_roots(own, scratch, lambda fps: near_links(fps, rows, scratch, similarity)).select("fp", "root"), "found")
-        sets = own.groupBy("name").agg(*[F.first(c).alias(c) for c in ("fp", "n", "parity", "head")], F.min("key").alias("key"))
-        left = links_left(scratch.write(sets.join(found, "fp").drop("fp"), "sets"), rows, scratch, similarity)
+        wide = scratch.write(wide_fingerprints(rows, "text", ["id", "key"], similarity=similarity), "fps")
+        found = scratch.write(_roots(wide, scratch, lambda fps: near_links(fps, rows, scratch, similarity)).select("fp", "root"), "found")
+        scratch.drop("distinct", "near", "open_texts")
+        sets = wide.groupBy("name").agg(*[F.first(c).alias(c) for c in ("fp", "common", "head")], F.min("key").alias("key"))
+        sets = scratch.write(sets.join(found, "fp"), "sets")
+        own = scratch.write(wide.select("id", "key", "fp"), "own")
+        scratch.drop("fps")
+        left = links_left(sets, rows, scratch, similarity)
+        scratch.drop("sets")
         joined = components(left, scratch).withColumnRenamed("root", "whole")
         grouped = found.join(joined, found["root"] == joined["id"], "left").select("fp", F.coalesce("whole", "root").alias("root"))
     by_fp = scratch.write(grouped.select("fp", "root"), "by_fp")
+    scratch.drop("found", "left")
     ranked = own.select("id", "key", "fp").join(by_fp, "fp").groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n"))
     first = ranked.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "key", "n")).alias("first"))
     keepers = first.select(F.col("first.id").alias("keeper"), F.col("first.key").alias("keeper_key"), (F.col("first.n") > 1).alias("again"))

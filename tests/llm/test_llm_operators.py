@@ -738,3 +738,18 @@ def test_a_large_group_of_near_copies_gives_few_pairs(spark, tmp_path):
     assert 399 <= len(pairs) <= simhash.NEIGHBOURS * 64 * 400 and len(set(pairs)) == len(pairs)
     roots = components(spark.createDataFrame([(p.a, p.b) for p in pairs], "a long, b long"), Scratch(spark, "test")).collect()
     assert len(roots) == 400 and len({r.root for r in roots}) == 1
+
+
+def test_texts_that_share_lines_only_make_no_pairs(spark, tmp_path):
+    """Every two of the texts share half of their shingles, so each meets all others under those."""
+    rows = [(str(i), " ".join([f"c{k}" for k in range(54)] + [f"o{i}x{k}" for k in range(50)])) for i in range(60)]
+    own = [f"n{k}" for k in range(104)]
+    rows += [("near", " ".join(own[:84])), ("other", " ".join(own))]
+    docs = spark.createDataFrame(rows, "key string, text string")
+    scratch = Scratch(spark, "test")
+    sets = scratch.write(simhash.wide_fingerprints(docs, "text", ["key"]).withColumn("root", F.col("fp")), "sets")
+    names = {r.key: r.fp for r in sets.collect()}
+    whole = simhash.sets_left(sets, docs, scratch)
+    assert {r.root for r in whole.collect()} == {names["near"], names["other"]}
+    assert simhash.first_places(whole, scratch).count() <= 42
+    assert [{r.a, r.b} for r in simhash.links_left(sets, docs, scratch).collect()] == [{names["near"], names["other"]}]
