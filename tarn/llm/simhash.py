@@ -248,17 +248,13 @@ def near_links(fps: DataFrame, texts: DataFrame, scratch: Scratch, similarity: f
     return near.filter(F.col("apart") <= sure).select("a", "b").unionAll(similar_enough(_with_texts(open_, texts, scratch, "open_texts"), similarity))
 
 
-def _texts_of(keys: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(key, text) of the distinct keys (key); texts has (key, text)."""
+def _with_texts(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """pairs with a_text and b_text of a_key and b_key; texts has (key, text)."""
+    keys = pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
     # Texts under one key are the same; many copies of one are spread over the salts before one of each is taken.
     spread = texts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     salted = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return scratch.write(spread.join(salted, ["key", "salt"], "left_semi").groupBy("key").agg(F.first("text").alias("text")), name)
-
-
-def _with_texts(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """pairs with a_text and b_text of a_key and b_key; texts has (key, text)."""
-    known = _texts_of(pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct(), texts, scratch, name)
+    known = scratch.write(spread.join(salted, ["key", "salt"], "left_semi").groupBy("key").agg(F.first("text").alias("text")), name)
     for s in "ab":
         pairs = pairs.join(known.select(F.col("key").alias(f"{s}_key"), F.col("text").alias(f"{s}_text")), f"{s}_key")
     return pairs
@@ -271,14 +267,20 @@ def _met_elsewhere(places: DataFrame, root: Column) -> DataFrame:
     return ranged.filter("least <> most").drop("least", "most")
 
 
-def sets_left(sets: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
-    """(name, root, n, parity, hashes) of those of sets (name, fp, root, common, head, key) whose heads leave a near set of another root possible."""
-    # Most sets are their own root, which rows then need not carry. Sets that share a fingerprint are counted together: that drops none.
-    places = sets.select("fp", F.when(F.col("root") != F.col("fp"), F.col("root")).alias("root"), F.explode("head").alias("hash"))
-    counts = _met_elsewhere(places, F.coalesce("root", "fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("shared"))
-    live = scratch.write(sets.select("name", "fp", "root", "common", "key").join(counts, "fp").filter("shared >= common").select("name", "root", "key"), "live")
-    known = _texts_of(live.select("key").distinct(), texts, scratch, "live_texts")
-    return scratch.write(whole_sets(live.join(known, "key"), "text", ["name", "root"]).drop("text"), "whole")
+def sets_left(sets: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(name, root, n, parity, hashes) of those of sets (name, fp, root, common, head, key) whose heads leave a near set of another root possible.
+
+    A null root is fp: most sets are their own, and rows then need not carry it. Rows of copies may be among the sets.
+    """
+    root = F.coalesce("root", "fp")
+    # Sets that share a fingerprint are counted together: that drops none.
+    mixed = _met_elsewhere(sets.select("fp", "root", F.explode("head").alias("hash")), root)
+    counts = mixed.select("fp", "hash").distinct().groupBy("fp").agg(F.count(F.lit(1)).alias("shared"))
+    distinct = sets.groupBy("name").agg(F.first("fp").alias("fp"), F.first(root).alias("root"), F.first("common").alias("common"), F.min("key").alias("key"))
+    live = scratch.write(distinct.join(counts, "fp").filter("shared >= common").select("name", "root", "key"), "live")
+    # Copies of one text are reduced to one before they are dealt by key.
+    known = scratch.write(texts.join(live.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "live_texts")
+    return scratch.write(whole_sets(live.join(known, "key"), "text", ["name", "root"]), "whole")
 
 
 def first_places(whole: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
@@ -298,9 +300,9 @@ def first_places(whole: DataFrame, scratch: Scratch, similarity: float = SIMILAR
 def links_left(sets: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of different roots under which two texts have that similarity: all of them.
 
-    sets has (name, fp, root, common, head, key) per distinct set of shingles, texts has (key, text).
+    sets has (name, fp, root, common, head, key) as sets_left takes it, texts has (key, text).
     """
-    whole = sets_left(sets, texts, scratch, similarity)
+    whole = sets_left(sets, texts, scratch)
     places = first_places(whole, scratch, similarity)
     scratch.drop("live", "live_texts", "mixed")
     places = scratch.write(places.join(whole.select("name", "parity"), "name"), "with_parity")
@@ -402,12 +404,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         wide = scratch.write(wide_fingerprints(rows, "text", ["id", "key"], similarity=similarity), "fps")
         found = scratch.write(_roots(wide, scratch, lambda fps: near_links(fps, rows, scratch, similarity)).select("fp", "root"), "found")
         scratch.drop("distinct", "near", "open_texts")
-        sets = wide.groupBy("name").agg(*[F.first(c).alias(c) for c in ("fp", "common", "head")], F.min("key").alias("key"))
-        sets = scratch.write(sets.join(found, "fp"), "sets")
+        moved = scratch.write(found.filter("root <> fp"), "moved")
         own = scratch.write(wide.select("id", "key", "fp"), "own")
-        scratch.drop("fps")
-        left = links_left(sets, rows, scratch, similarity)
-        scratch.drop("sets")
+        left = links_left(wide.join(moved, "fp", "left"), rows, scratch, similarity)
+        scratch.drop("fps", "moved")
         joined = components(left, scratch).withColumnRenamed("root", "whole")
         grouped = found.join(joined, found["root"] == joined["id"], "left").select("fp", F.coalesce("whole", "root").alias("root"))
     by_fp = scratch.write(grouped.select("fp", "root"), "by_fp")
