@@ -49,7 +49,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.query(table(spark, sf_dir, "documents"))
+    return suffix_dedup.query(table(spark, sf_dir, "documents"), passages=True)
 
 
 QUERIES: dict[str, Query] = {

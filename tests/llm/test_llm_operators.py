@@ -675,6 +675,76 @@ def test_cover_ranks_equal_brute_force():
     assert diffs == set(range(16))
 
 
+def brute_passages(rows, n=50):
+    """Per row: id, maximal runs of words covered by n words that also start elsewhere, and the number of these words."""
+    texts = [re.findall(rb"[^\x20\x09-\x0D]+", t) for _, t in rows]
+    c = Counter(tuple(w[i : i + n]) for w in texts for i in range(len(w) - n + 1))
+    out = Counter()
+    for (d, _), w in zip(rows, texts):
+        starts = [i for i in range(len(w) - n + 1) if c[tuple(w[i : i + n])] > 1]
+        covered = {k for i in starts for k in range(i, i + n)}
+        out[(d, sum(k - 1 not in covered for k in covered), len(covered))] += 1
+    return out
+
+
+def with_passages():
+    """Texts of 90 to 160 words; in some 60, 50 or 49 words that others hold too, of under 400 bytes, between other whitespace."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choices("abcdefghijklmnopq\u00e9", k=r.randrange(1, 9)))
+    shared = [word() for _ in range(60)]
+    assert len(" ".join(shared).encode()) < 400
+    texts = []
+    for i in range(40):
+        own = [word() for _ in range(r.randrange(90, 160))]
+        at, size = r.randrange(len(own)), (0, 60, 49, 50)[i % 4]
+        own[at:at] = shared[60 - size :]
+        texts.append(("\n" if i % 3 else "\t").join(own))
+    return [*texts, texts[0], texts[1], "ab cd " * 300, "ab " * 49, "x" * 9000 + " " + " ".join(shared), "x" * 8999 + "y " + " ".join(shared), "", None]
+
+
+@pytest.mark.parametrize(("group", "hot"), [(4096, 4096), (1, 4096), (4096, 1), (1, 1)])
+def test_passages_of_words_shorter_than_400_bytes(spark, monkeypatch, group, hot):
+    """Also with every shared bucket taken as oversized, and every key met twice as frequent."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_CONTEXTS", group)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
+    frame = spark.createDataFrame(list(enumerate(with_passages())), "doc_id long, text string").repartition(4)
+    rows = [(d, (t or "").encode()) for d, t in enumerate(with_passages())]
+    expected = brute_passages(rows)
+    alone = [d for d in range(4, 40, 4) if (d, 0, 0) in expected]
+    assert len(alone) == 9 and all((d, 1, 60) in expected for d in range(5, 40, 4))
+    got = suffix_dedup.query(frame, passages=True).collect()
+    assert Counter((r.doc_id, r.n_passages, r.n_passage_words) for r in got) == expected
+    assert Counter(tuple(r)[:5] for r in got) == brute_suffix(rows)
+    assert all(r.n_removed == 0 for r in got if r.doc_id in range(5, 40, 4))
+
+
+def test_runs_of_one_document_with_equal_contexts_are_one_row(spark):
+    """A periodic text gives rows by its distinct contexts, not by its length."""
+    frame = spark.createDataFrame([(1, "ab cd " * 2000), (2, "ab cd " * 1000)], "doc_id long, text string").coalesce(1)
+    own = frame.select("doc_id", F.lit(0).cast("long").alias("th"), "text")
+    runs = suffix_dedup._runs(own, [suffix_dedup.bucket_runs, suffix_dedup.word_runs]).collect()
+    assert len(runs) < 20
+    assert sum(len(r.at) * r.n for r in runs if not r.bucket & 1) == 12000 + 6000 - 2 * 399
+    assert sum(len(r.at) * r.n for r in runs if r.bucket & 1) == 4000 + 2000 - 2 * 49
+
+
+def test_words_and_their_runs_do_not_depend_on_stretches(monkeypatch):
+    text = " ".join(t or "" for t in with_passages()).encode() + b"  tail\x0b" + b"\xc3" * 5000 + b" end \r"
+    begins, ends, ids = suffix_dedup.words_of(text)
+    words = [text[a:b] for a, b in zip(begins, ends)]
+    assert words == re.findall(rb"[^\x20\x09-\x0D]+", text)
+    assert len(set(ids.tolist())) == len(set(words)) == len(set(zip(ids.tolist(), words)))
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 100)
+    assert suffix_dedup.words_of(text)[2].tolist() == ids.tolist()
+    at = dict(zip(begins.tolist(), range(len(begins))))
+    texts = [b"", None, b"a b", text, b"c " * 49, b"d " * 50, text[:300]]
+    for stretch in (100, 20000, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+        owner, s, n = suffix_dedup.word_runs(texts)[:3]
+        assert set(owner.tolist()) == {3, 5, 6} if len(suffix_dedup.words_of(text[:300])[0]) >= 50 else {3, 5}
+        assert sorted(at[a] + k for o, a, m in zip(owner.tolist(), s.tolist(), n.tolist()) if o == 3 for k in range(m)) == list(range(len(words) - 49))
+
+
 def near_copies():
     """Texts of 40 to 200 words, each with copies in which some words differ."""
     random = np.random.default_rng(5)
